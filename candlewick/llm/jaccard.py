@@ -5,11 +5,13 @@ shingle is estimated to occur, rarest first. Two sets that overlap enough share
 first |x| - ceil(t |x|) + l of each, for every l (the l-prefix). Each document takes the l that minimises its
 estimated cost: a longer prefix is dearer to index but lets l shared shingles be required of a candidate.
 
-Exact duplicates are one node from the start. A shingle that few nodes hold gives its pairs, and a pair
-becomes a candidate if it shares the smaller of the two l. A shingle that many nodes hold gives no pairs:
-its nodes are tied to the shingle itself. Connected nodes form candidate groups of some near copies each,
-whose whole sets are then compared: each group in one task, groups that are too large in blocks. Pairs that
-are already connected need no comparison, so a group of m near copies costs far less than m^2.
+Exact duplicates are one node from the start. Each node has a histogram of its shingles' hashes; the sum of
+the smaller counts is an upper bound of two nodes' overlap, and pairs that it rules out are dropped at once.
+A shingle that few nodes hold gives its other pairs, and a pair becomes a candidate if it shares the smaller
+of the two l. A shingle that many nodes hold gives a forest that connects those pairs, and one that very
+many hold ties them all to itself. Connected nodes form candidate groups of some near copies each, whose
+whole sets are then compared: each group in one task, groups that are too large in blocks. Pairs that are
+already connected need no comparison, so a group of m near copies costs far less than m^2.
 """
 
 from __future__ import annotations
@@ -28,12 +30,16 @@ SKETCH = 1 << 20
 CHUNKS = 64
 #: The greatest l.
 LEVELS = 3
-#: A shingle held by more nodes than this ties them to itself instead of giving pairs.
+#: A shingle held by more nodes than this gives a forest instead of pairs, and by more than MANY one tree of all of them.
 PAIRS_OF = 12
+MANY = 4_096
+#: Bins of the histograms, and the size from which a set's histogram says nothing, as counts end at 255.
+BINS = 128
+LONG = 20_000
 #: Estimated cost of a candidate, in prefix shingles.
 VERIFY = 16.0
 #: A candidate group of more shingles than this is compared in blocks of so many nodes.
-GROUP = 4_000_000
+GROUP = 1_500_000
 BLOCK = 512
 LEADERS = 64
 
@@ -98,17 +104,18 @@ def _fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
     import pyarrow as pa
 
     kind = dict(docs.dtypes)[id_col]
-    names = [id_col, "n", "k1", "k2", "chunk", "counts"]
+    names = [id_col, "n", "k1", "k2", "bins", "chunk", "counts"]
 
     def run(batches):
         counts, seen, id_type = np.zeros(SKETCH, np.int32), set(), None
         for b in text_pieces(batches):
-            id_type, size, keys, fresh = b.schema.field(0).type, [], [], []
+            id_type, size, keys, bins, fresh = b.schema.field(0).type, [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, n)
                 key = set_key(s)
                 size.append(len(s))
                 keys.append(key)
+                bins.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 if key not in seen:
                     seen.add(key)
                     fresh.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
@@ -116,14 +123,14 @@ def _fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
                 slot, c = np.unique(np.concatenate(fresh), return_counts=True)
                 counts[slot] += c.astype(np.int32)
             rows = len(size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bins, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if id_type is not None:
             step = SKETCH // CHUNKS
             parts = [counts[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)]
-            empty = [pa.nulls(CHUNKS, t) for t in (id_type, pa.int32(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(CHUNKS, t) for t in (id_type, pa.int32(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select(id_col, text_col).transform(arrow, run, f"`{id_col}` {kind}, n int, k1 long, k2 long, chunk int, counts binary")
+    return docs.select(id_col, text_col).transform(arrow, run, f"`{id_col}` {kind}, n int, k1 long, k2 long, bins binary, chunk int, counts binary")
 
 
 def _sketch(marks: DataFrame) -> np.ndarray:
@@ -201,58 +208,105 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, t
     return docs.select(text_col).transform(arrow, run, "token long, node long, meta long, salt int")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of the prefixes' rows those whose shingle two nodes or more hold, each node once."""
+    import pyarrow as pa
+
+    names = ["token", "node", "meta", "salt"]
+
+    def run(batches):
+        held: list[np.ndarray] | None = None  # the last shingle's rows, as more may follow in the next batch
+        for b in batches:
+            c = [b.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                c = [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
+            token, node, _, salt = c
+            first = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
+            fresh = first | np.r_[True, node[1:] != node[:-1]]
+            run_of = np.cumsum(first) - 1
+            nodes = np.bincount(run_of, fresh)
+            last = run_of == run_of[-1]
+            give = fresh & (nodes[run_of] > 1) & ~last | (salt > 0) & fresh & ~last
+            tail = np.flatnonzero(last & fresh)
+            if len(tail) > MANY:  # enough to know: all but one row go out, and that one stays to be met by later ones
+                give[tail[:-1]] = True
+                tail = tail[-1:]
+            held = [x[tail] for x in c]
+            if give.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in c], names=names)
+        if held is not None:
+            # Of a shingle whose earlier rows went out already, one row is left.
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+
+    return rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "node").transform(arrow, run, "token long, node long, meta long, salt int")
+
+
+def possible(sizes: np.ndarray, bins: np.ndarray, i: int, num: int, den: int, after: int) -> np.ndarray:
+    """Of the nodes from `after` on those that node i may link with, by sizes and by the histograms' bound of the overlap."""
+    n, other = int(sizes[i]), sizes[after:]
+    fine = den * np.minimum(n, other) >= num * np.maximum(n, other)
+    if n < LONG and fine.any():
+        most = np.minimum(bins[i], bins[after:]).sum(1, dtype=np.int64)
+        fine &= (den * most >= num * (n + other - most)) | (other >= LONG)
+    return fine
+
+
+def bucket_edges(nodes: np.ndarray, meta: np.ndarray, bins: np.ndarray, num: int, den: int, out: list) -> None:
+    """Adds (a, b, need) for one shingle's nodes: pairs, or, if they are many, a forest with need 0."""
+    sizes, levels, at, m = meta >> 16, meta >> 8 & 255, meta & 255, len(nodes)
+    label = np.arange(m)
+    for i in range(m - 1):
+        if m > PAIRS_OF and (label[i + 1 :] == label[i]).all():
+            continue
+        need = np.minimum(levels[i], levels[i + 1 :])
+        fine = possible(sizes, bins, i, num, den, i + 1) & (np.maximum(at[i], at[i + 1 :]) <= need)
+        for j in np.flatnonzero(fine).tolist():
+            if m <= PAIRS_OF:
+                a, b = int(nodes[i]), int(nodes[i + 1 + j])
+                out.append((min(a, b), max(a, b), int(need[j])))
+            elif label[i + 1 + j] != label[i]:
+                out.append((int(nodes[i]), int(nodes[i + 1 + j]), 0))
+                label[label == label[i + 1 + j]] = label[i]
+
+
 def _bucket_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, need): for each shingle its pairs of nodes, or, where many nodes hold it, each node and the shingle (need 0)."""
+    """(a, b, need) of all shared shingles; rows: those of _shared, with each node's histogram."""
     import pyarrow as pa
 
-    def flush(token, salt, bucket, out):
-        nodes = {}
-        for node, meta in bucket:
-            nodes[node] = meta
-        if len(nodes) < 2:
-            return
-        own = sorted(nodes.items())
-        for i, (a, x) in enumerate(own):
-            na, la, ea = x >> 16, x >> 8 & 255, x & 255
-            for b, y in own[i + 1 :]:
-                nb, need = y >> 16, min(la, y >> 8 & 255)
-                if max(ea, y & 255) <= need and den * min(na, nb) >= num * max(na, nb):
-                    out.append((a, b, need))
+    def flush(bucket, out):
+        token, node, meta, salt, bins = bucket
+        if len(node) > 1 and not salt[0]:
+            node, one = np.unique(node, return_index=True)
+            if len(node) > 1:
+                bucket_edges(node, meta[one], np.stack([np.frombuffer(bins[k], np.uint8) for k in one]), num, den, out)
 
     def run(batches):
-        token = salt = None
-        bucket: list[tuple[int, int]] = []
-        many = False
+        held: list | None = None
+        tied = None  # a shingle that very many hold
         for b in batches:
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             out: list[tuple[int, int, int]] = []
-            t, node, meta, s = (b.column(i).to_numpy() for i in range(4))
-            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
-            size = np.diff(np.r_[new, len(t)])
-            # A run of one row in the middle of a batch is a shingle with one holder: it gives nothing.
-            runs = (size > 1) | (s[new] > 0)
-            runs[[0, -1]] = True
-            for i in np.flatnonzero(runs).tolist():
-                start, held = int(new[i]), int(size[i])
-                if i or (t[start], s[start]) != (token, salt):
-                    if bucket and not many:
-                        flush(token, salt, bucket, out)
-                    token, salt, bucket, many = int(t[start]), int(s[start]), [], False
-                mine = list(zip(node[start : start + held].tolist(), meta[start : start + held].tolist(), strict=True))
-                if not many and (salt or len({x for x, _ in bucket + mine[: PAIRS_OF + 1]}) > PAIRS_OF or len(bucket) + held > 50 * PAIRS_OF):
-                    many = True
-                    out += [(x, token, 0) for x in {x for x, _ in bucket}]
-                    bucket = []
-                if many:
-                    out += [(x, token, 0) for x in {x for x, _ in mine}]
+            token, node, salt = c[0], c[1], c[3]
+            cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]).tolist()
+            for s, e in zip(cut, [*cut[1:], len(token)], strict=True):
+                mine = [x[s:e] for x in c]
+                key = token[s], salt[s]
+                if held is not None and (held[0][0], held[3][0]) == key:
+                    held = [np.concatenate([x, y]) for x, y in zip(held, mine, strict=True)]
                 else:
-                    bucket += mine
-            if out:
-                yield _edges(pa, out)
-        if bucket and not many:
-            out = []
-            flush(token, salt, bucket, out)
+                    if held is not None:
+                        flush(held, out)
+                    held = mine
+                if tied == key or salt[s] or len(held[0]) > MANY:
+                    out += [(int(x), int(key[0]), 0) for x in np.unique(held[1])]
+                    held, tied = None, key
             if out:
                 yield _edges(pa, out)
+        out = []
+        if held is not None:
+            flush(held, out)
+        if out:
+            yield _edges(pa, out)
 
     return rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt").transform(arrow, run, "a long, b long, need int")
 
@@ -393,9 +447,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         raise ValueError("the threshold lies above 0 and at most at 1")
     spark = docs.sparkSession
     marks = stage(_fingerprints(docs, n, id_col, text_col), "keys")
-    keys = marks.where("chunk is null").select(id_col, "n", "k1", "k2")
+    keys = marks.where("chunk is null").select(id_col, "n", "k1", "k2", "bins")
     nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"))
-    edges = stage(_bucket_edges(_prefixes(docs, n, num, den, _sketch(marks), text_col), num, den), "edges")
+    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), text_col))
+    bins = keys.where("n > 0").groupBy(F.col("k1").alias("node")).agg(F.min("bins").alias("bins"))
+    edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den), "edges")
     pairs = edges.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     clusters = components(pairs.unionAll(edges.where("need = 0").select("a", "b")))
     # Shingles are nodes of the graph as well; only sets' keys are met here.
@@ -429,7 +485,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     joined = nodes.withColumn("id", name).join(connected, F.col("id") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("root", "id").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = joined.join(least, "root").select("k1", "k2", "component_id")
-    out = keys.join(by_key, ["k1", "k2"], "left")
+    out = keys.drop("bins").join(by_key, ["k1", "k2"], "left")
     return out.select(id_col, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
 
