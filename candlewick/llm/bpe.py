@@ -18,7 +18,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 
 from . import words
-from .common import arrow, text_pieces
+from .common import arrow, held, text_pieces
 
 #: The published pattern of byte-level BPE vocabularies that splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +43,7 @@ class TrieBPE:
     limit: words whose ids are kept; beyond it only those in use stay, so memory is bounded.
     """
 
-    def __init__(self, json_text: str, limit: int = 700_000):
+    def __init__(self, json_text: str, limit: int = 300_000):
         import regex
 
         spec = json.loads(json_text)
@@ -126,7 +126,7 @@ class TrieBPE:
         """
         out: dict[bytes, tuple[int, ...]] = {}
         before, states, suffixes, pairs, lengths = b"", [-1], self.suffixes.get, self.pairs, self.lengths
-        if len(pairs) > 1_000_000:
+        if len(pairs) > 400_000:
             pairs.clear()
         for word in sorted(set(distinct)):
             size, shared = len(word), 0
@@ -218,15 +218,8 @@ class TrieBPE:
         return b"".join(map(self.bytes_of.get, ids) if all(i in self.bytes_of for i in set(ids)) else (self.bytes_of[i] for i in ids if i in self.bytes_of)).decode("utf-8", "replace")
 
 
-_CODECS: dict[int, TrieBPE] = {}
-
-
 def codec(json_text: str) -> TrieBPE:
-    key = hash(json_text)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = TrieBPE(json_text)
-    return _CODECS[key]
+    return held("bpe", hash(json_text), lambda: TrieBPE(json_text))
 
 
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +236,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: st
 
     def run(batches):
         own = codec(vocabulary.value)
-        for b in text_pieces(batches, 8_000_000):
+        for b in text_pieces(batches):
             n, hashes, back, all_ids, texts = [], [], [], [], []
             for ids in own.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))

@@ -81,7 +81,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_pieces(batches, limit: int = 16_000_000):
+_HELD: dict[str, tuple] = {}
+
+
+def held(name: str, key, build):
+    """The worker process's one object of tables: that of the last operator that ran in it.
+
+    A worker outlives a stage, so an operator's tables go when another operator begins, and their memory
+    is given back.
+    """
+    if _HELD.get("now", (None, None))[0] != (name, key):
+        if _HELD.pop("now", None) is not None:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+        _HELD["now"] = (name, key), build()
+    return _HELD["now"][1]
+
+
+def text_pieces(batches, limit: int = 4_000_000):
     """Arrow batches cut to slices of about `limit` bytes of memory, so that a worker's memory is bounded by the longest row."""
     for batch in batches:
         rows = batch.num_rows

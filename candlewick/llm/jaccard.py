@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow, forget, partitions, stage, text_pieces
+from .common import BROADCAST_ROWS, arrow, forget, held, partitions, stage, text_pieces
 from .graph import components
 
 #: Counters of estimated shingle frequencies; the estimates only order shingles and choose l, so results don't depend on them.
@@ -53,16 +53,13 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_WORDS = _Words()
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
+def shingles(text: str | None, n: int, known: dict | None = None) -> np.ndarray:
     """The distinct n-word shingles of a text as sorted 64-bit hashes.
 
     Words: what stands between space, tab, newline, vertical tab, form feed and carriage return, with A-Z
@@ -71,7 +68,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = held("jaccard", None, _Words) if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < n:
         short = 0x243F6A8885A308D3 + len(h)
         for x in h.tolist():

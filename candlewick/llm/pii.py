@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, text_pieces
+from .common import arrow, held, text_pieces
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -139,13 +139,8 @@ class Finder:
             out.append(("account", m.start(1), m.end(1)))
 
 
-_FINDER: list[Finder] = []
-
-
 def finder() -> Finder:
-    if not _FINDER:
-        _FINDER.append(Finder())
-    return _FINDER[0]
+    return held("pii", None, Finder)
 
 
 def joined(spans: list[Span]) -> str:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, text_pieces
+from .common import arrow, held, text_pieces
 
 #: Documents of each label in the training sample, at most; and the bytes of one such document, at most.
 SAMPLE = 1_500
@@ -233,7 +233,7 @@ def evidence_of(odds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _laid_out(field_: Field, texts: list[str], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     tokens = [t.split() for t in texts]
-    if len(cache) > 400_000:
+    if len(cache) > 300_000:
         cache.clear()
     for w in {w for x in tokens for w in x}:
         if w not in cache:
@@ -321,9 +321,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(found["__text"].tolist(), found["__y"].astype(int).tolist()) if len(found) else Field({}, fitted=False)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """(id, score, spans array<struct<start, end, probability>>) for each row of docs.
 
@@ -336,7 +333,7 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
 
     def run(batches):
-        own = _SCORERS.setdefault(id(shared.value), Scorer(shared.value))
+        own = held("toxicity", id(shared.value), lambda: Scorer(shared.value))
         for b in text_pieces(batches):
             got = own.scores([t or "" for t in b.column(1).to_pylist()], spans)
             found = pa.array([[{"start": s, "end": e, "probability": p} for s, e, p in x] for _, x in got], pa.list_(span))
@@ -353,7 +350,7 @@ def keep_clean(docs: DataFrame, model: Field, text_col: str = "text", threshold:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        own = _SCORERS.setdefault(id(shared.value), Scorer(shared.value))
+        own = held("toxicity", id(shared.value), lambda: Scorer(shared.value))
         for b in text_pieces(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             keep = [x < threshold or not t for t, (x, _) in zip(texts, own.scores(texts), strict=True)]

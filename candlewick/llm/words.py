@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: Python's split() also cuts at these four, which regular expression libraries do not call white space.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -65,7 +67,7 @@ class WordEncoder:
     at once, so that batches are even in bytes whatever the words' lengths.
     """
 
-    def __init__(self, json_text: str, limit: int = 500_000, batch_bytes: int = 50_000, piece: int = 20_000):
+    def __init__(self, json_text: str, limit: int = 400_000, batch_bytes: int = 50_000, piece: int = 20_000):
         self.tokenizer, self.limit, self.batch_bytes, self.piece = load(json_text), limit, batch_bytes, piece
         spec = json.loads(json_text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
@@ -141,16 +143,8 @@ class WordEncoder:
         return [sum(map(get, x)) for x in cuts]
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def encoder(json_text: str) -> WordEncoder:
-    """One encoder for each vocabulary and worker process."""
-    key = hash(json_text)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(json_text)
-    return _ENCODERS[key]
+    return held("words", hash(json_text), lambda: WordEncoder(json_text))
 
 
 def vocabulary(path: str) -> str:
