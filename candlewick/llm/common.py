@@ -67,9 +67,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows of one Arrow batch, at most: whole texts and sets are long, and both the JVM and the worker hold a batch.
+ARROW_ROWS = 1_000
+
+
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow where executors have this package's sources. run imports pyarrow by itself."""
-    ship(df.sparkSession)
+    """df.mapInArrow where executors have this package's sources, in batches of at most ARROW_ROWS rows. run imports pyarrow by itself."""
+    spark = ship(df.sparkSession)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)
 
 

@@ -34,12 +34,12 @@ LEVELS = 3
 PAIRS_OF = 12
 MANY = 4_096
 #: Bins of the histograms, and the size from which a set's histogram says nothing, as counts end at 255.
-BINS = 128
+BINS = 256
 LONG = 20_000
 #: Estimated cost of a candidate, in prefix shingles.
 VERIFY = 16.0
 #: A candidate group of more shingles than this is compared in blocks of so many nodes.
-GROUP = 1_500_000
+GROUP = 2_000_000
 BLOCK = 512
 LEADERS = 64
 
@@ -113,7 +113,7 @@ def _fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
                 key = set_key(s)
                 size.append(len(s))
                 keys.append(key)
-                bins.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 if key not in seen:
                     seen.add(key)
                     fresh.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
