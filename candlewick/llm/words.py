@@ -67,10 +67,11 @@ class WordEncoder:
     at once, so that batches are even in bytes whatever the words' lengths.
     """
 
-    def __init__(self, json_text: str, limit: int = 400_000, batch_bytes: int = 50_000, piece: int = 20_000):
+    def __init__(self, json_text: str, limit: int = 900_000, batch_bytes: int = 50_000, piece: int = 20_000):
         self.tokenizer, self.limit, self.batch_bytes, self.piece = load(json_text), limit, batch_bytes, piece
         spec = json.loads(json_text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.mark = os.path.commonprefix(self.specials)  # every special string holds it
         self.suffix = spec["model"].get("end_of_word_suffix")
         pattern = json.dumps(spec["pre_tokenizer"])
         if not self.suffix or "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" not in pattern or "Removed" not in pattern:
@@ -96,50 +97,60 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]):
-        """(part, ids as an array) for words that the splitter leaves whole."""
+    def _encode_parts(self, parts: list[str], what: str):
+        """(part, what stays of its ids) for words that the splitter leaves whole."""
         for batch in self._batches(parts):
             ids = np.array(self._encode([" ".join(batch)])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(batch) or ends[-1] != len(ids):
-                yield from zip(batch, (np.array(x, "<u4") for x in self._encode(batch)), strict=True)
+                yield from zip(batch, (self.keep[what](x) for x in self._encode(batch)), strict=True)
+            elif what == "ids":
+                flat, at = ids.tobytes(), (ends * 4).tolist()
+                yield from zip(batch, [flat[s:e] for s, e in zip([0, *at], at, strict=False)], strict=True)
             else:
-                yield from zip(batch, np.split(ids, ends[:-1]), strict=True)
+                yield from zip(batch, np.diff(ends, prepend=0).tolist(), strict=True)
 
-    def _fill(self, what: str, words: list[str], kept, joined) -> dict:
-        """The table with all of `words` in it. kept: what stays of an array of ids; joined: of the parts of a word."""
-        known, parts, distinct = self.known[what], self.parts[what], set(words)
+    #: What stays of a word's ids, and how that of its parts is joined.
+    keep = {"ids": lambda ids: np.array(ids, "<u4").tobytes(), "lengths": len}
+    join = {"ids": b"".join, "lengths": sum}
+
+    def _fill(self, what: str, words: set[str]) -> dict:
+        """The table with all of `words` in it."""
+        known, parts, kept, joined = self.known[what], self.parts[what], self.keep[what], self.join[what]
         if len(known) + len(parts) > self.limit:
-            known = self.known[what] = {w: known[w] for w in distinct if w in known}
+            known = self.known[what] = {w: known[w] for w in words if w in known}
             parts.clear()
-        split, odd = {}, []
-        for w in distinct:
-            if w not in known:
-                if _PLAIN.fullmatch(w) and not any(s in w for s in self.specials):
-                    split[w] = _PARTS.findall(w.lower())
-                else:
-                    odd.append(w)
-        for part, ids in self._encode_parts([p for p in {p for x in split.values() for p in x} if p not in parts]):
-            parts[part] = kept(ids)
+        single, split, odd, mark = {}, {}, [], self.mark
+        for w in words.difference(known):
+            if w.isascii() and w.isalpha():
+                single[w] = w.lower()
+            elif _PLAIN.fullmatch(w) and (mark not in w or not any(s in w for s in self.specials)):
+                split[w] = _PARTS.findall(w.lower())
+            else:
+                odd.append(w)
+        missing = set(single.values())
+        missing.update(*split.values())
+        parts.update(self._encode_parts(list(missing.difference(parts)), what))
+        get = parts.__getitem__
+        known.update(zip(single, map(get, single.values()), strict=True))
         for w, x in split.items():
-            known[w] = parts[x[0]] if len(x) == 1 else joined(map(parts.__getitem__, x))
+            known[w] = get(x[0]) if len(x) == 1 else joined(map(get, x))
         for batch in self._batches([w for w in odd if len(w) <= 2 * self.piece]):
-            for w, ids in zip(batch, self._encode(batch), strict=True):
-                known[w] = kept(np.array(ids, "<u4"))
+            known.update(zip(batch, map(kept, self._encode(batch)), strict=True))
         for w in (w for w in odd if len(w) > 2 * self.piece):
-            known[w] = joined(kept(np.array(i, "<u4")) for b in self._batches(safe_pieces(w, self.piece)) for i in self._encode(b))
+            known[w] = joined(kept(i) for b in self._batches(safe_pieces(w, self.piece)) for i in self._encode(b))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         cuts = [cut(t) for t in texts]
-        get = self._fill("ids", [w for x in cuts for w in x], np.ndarray.tobytes, b"".join).__getitem__
+        get = self._fill("ids", set().union(*cuts)).__getitem__
         return [b"".join(map(get, x)) for x in cuts]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text; the ids themselves are dropped at once."""
         cuts = [cut(t) for t in texts]
-        get = self._fill("lengths", [w for x in cuts for w in x], len, sum).__getitem__
+        get = self._fill("lengths", set().union(*cuts)).__getitem__
         return [sum(map(get, x)) for x in cuts]
 
 
