@@ -62,7 +62,7 @@ def test_expressions(spark, array):
     for i, (_, opens, closes, _, _) in enumerate(EXPRESSIONS):
         own = series(spark, opens, closes, 0, i + 1)
         bars = own if bars is None else bars.unionAll(own)
-    bars = bars.localCheckpoint() if False else bars.persist()
+    bars = bars.persist()
     for i, (name, _, _, expr, want) in enumerate(EXPRESSIONS):
         assert verdicts(bars.where(F.col("code") == i + 1), Stage("s", conditions=[("c", expr)]), array) == want, name
     bars.unpersist()
