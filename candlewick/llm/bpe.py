@@ -43,7 +43,7 @@ class TrieBPE:
     limit: words whose ids are kept; beyond it only those in use stay, so memory is bounded.
     """
 
-    def __init__(self, json_text: str, limit: int = 300_000):
+    def __init__(self, json_text: str, limit: int = 500_000):
         import regex
 
         spec = json.loads(json_text)
@@ -63,17 +63,20 @@ class TrieBPE:
                 self.made[i], self.halves[i] = k, pair
         self.pairs: dict[int, bool] = {}
         self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
-        #: Each suffix of a token: the token that it is itself, or -1. A token that its own merges don't make
-        #: never appears in an encoding.
-        self.suffixes = {b[k:]: -1 for b in self.id_of for k in range(len(b))}
-        self.suffixes |= {b: i for b, i in self.id_of.items() if self.made[i] < 0 or self.own(i)}
+        #: An automaton over the tokens that their own merges make (no other token appears in an encoding): a
+        #: state is a beginning of a token, the longest one that the prefix read so far ends with.
+        self.token_of = {b: i for b, i in self.id_of.items() if self.made[i] < 0 or self.own(i)}
+        self.begins = [b"", *sorted({b[:k] for b in self.token_of for k in range(1, len(b) + 1)})]
+        self.state_of = {b: k for k, b in enumerate(self.begins)}
+        self.steps: dict[int, int] = {}
+        #: (length, token) of the tokens that a state's prefix ends with, from the longest; filled as states are met.
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.begins)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.names = {i: str(i) for i in self.bytes_of}
         self.pattern, self.library, self.json_text = regex.compile(PATTERN), None, json_text
         self.limit = limit
-        self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -118,47 +121,59 @@ class TrieBPE:
             else:
                 return True
 
+    def _step(self, key: int) -> int:
+        """The state after a state (key >> 8) and a byte (key & 255)."""
+        text = self.begins[key >> 8] + bytes([key & 255])
+        while text not in self.state_of:
+            text = text[1:]
+        state = self.steps[key] = self.state_of[text]
+        if self.ends[state] is None:
+            tails = (text[k:] for k in range(len(text)))
+            self.ends[state] = tuple((len(t), self.token_of[t]) for t in tails if t in self.token_of)
+        return state
+
     def encode_words(self, distinct: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """The ids of each word, by one depth-first walk over the trie of all of them.
 
-        The last token of a node: of the tokens that are a suffix of its prefix, from the longest, the
-        first that fits the last token of the node where it begins. states[k]: that of the node at depth k.
+        The last token of a node: of the tokens that its prefix ends with, from the longest, the first that
+        fits the last token of the node where it begins. last[k], at[k]: that of the node at depth k, and the
+        automaton's state there.
         """
         out: dict[bytes, tuple[int, ...]] = {}
-        before, states, suffixes, pairs, lengths = b"", [-1], self.suffixes.get, self.pairs, self.lengths
-        if len(pairs) > 400_000:
-            pairs.clear()
+        before, last, at, ends, lengths = b"", [-1], [0], self.ends, self.lengths
+        if len(self.pairs) > 400_000:
+            self.pairs.clear()
+        if len(self.steps) > 600_000:
+            self.steps.clear()
+        pairs, steps = self.pairs, self.steps
         for word in sorted(set(distinct)):
             size, shared = len(word), 0
-            if before:
-                most = min(len(before), size)
-                while shared < most and before[shared] == word[shared]:
-                    shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, size + 1):
-                found, start = [], end - 1
-                while start >= 0:
-                    token = suffixes(word[start:end])
-                    if token is None:
-                        break
-                    if token >= 0:
-                        found.append((start, token))
-                    start -= 1
-                while found:
-                    start, token = found.pop()
-                    if not start:
+            most = min(len(before), size)
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], at[shared + 1 :]
+            state, depth = at[shared], shared
+            for byte in word[shared:]:
+                depth += 1
+                key = state << 8 | byte
+                state = steps.get(key)
+                if state is None:
+                    state = self._step(key)
+                for length, token in ends[state]:
+                    if length == depth:
                         break
-                    key = states[start] << 20 | token
+                    key = last[depth - length] << 20 | token
                     fits = pairs.get(key)
                     if fits is None:
-                        fits = pairs[key] = self.compatible(states[start], token)
+                        fits = pairs[key] = self.compatible(key >> 20, token)
                     if fits:
                         break
-                states.append(token)
-            ids, at = [], size
-            while at:
-                ids.append(states[at])
-                at -= lengths[states[at]]
+                last.append(token)
+                at.append(state)
+            ids = []
+            while depth:
+                ids.append(last[depth])
+                depth -= lengths[last[depth]]
             ids.reverse()
             out[word] = tuple(ids)
             before = word
@@ -180,38 +195,40 @@ class TrieBPE:
             found = text.split(" ")
         return [found[0], *[" " + x for x in found[1:]]] if found[0] else [" " + x for x in found[1:]]
 
-    def _known(self, pieces: list[str]) -> None:
-        distinct = set(pieces)
-        if len(self.words) + len(self.pieces) > self.limit:
-            self.words.clear()
+    def _known(self, distinct: set[str]) -> None:
+        if len(self.pieces) > self.limit:
             self.pieces = {p: self.pieces[p] for p in distinct if p in self.pieces}
-        new = [p for p in distinct if p not in self.pieces]
-        split = {p: self._split(p) for p in new}
-        missing = {w for x in split.values() for w in x if w not in self.words}
-        encoded = self.encode_words([w.encode() for w in missing])
-        for w in missing:
-            self.words[w] = encoded[w.encode()]
+        # A space or none and letters: one word. The others are split.
+        whole, split = [], {}
+        for p in distinct.difference(self.pieces):
+            if p.isascii() and (p.isalpha() or p[0] == " " and p[1:].isalpha()):
+                whole.append(p)
+            else:
+                split[p] = self._split(p)
+        encoded = self.encode_words([w.encode() for w in {*whole, *chain.from_iterable(split.values())}])
+        for p in whole:
+            self.pieces[p] = encoded[p.encode()]
         for p, x in split.items():
-            self.pieces[p] = tuple(chain.from_iterable(map(self.words.__getitem__, x)))
+            self.pieces[p] = encoded[p.encode()] if len(x) == 1 else tuple(chain.from_iterable([encoded[w.encode()] for w in x]))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each whole text. Special strings in a text become their ids."""
-        parts: list[list[str | int]] = []
+        parts: list[list[list[str] | int]] = []
         for text in texts:
             if not text:
                 parts.append([])
             elif self.specials is None or not self.specials.search(text):
-                parts.append(self._cut(text))
+                parts.append([self._cut(text)])
             else:
                 own, at = [], 0
                 for m in self.specials.finditer(text):
-                    own += self._cut(text[at : m.start()]) if m.start() > at else []
+                    own += [self._cut(text[at : m.start()])] if m.start() > at else []
                     own.append(self.special[m[0]])
                     at = m.end()
-                parts.append(own + (self._cut(text[at:]) if at < len(text) else []))
-        self._known([p for x in parts for p in x if not isinstance(p, int)])
+                parts.append(own + ([self._cut(text[at:])] if at < len(text) else []))
+        self._known(set().union(*(p for x in parts for p in x if not isinstance(p, int))))
         get = self.pieces.__getitem__
-        return [list(chain.from_iterable((p,) if isinstance(p, int) else get(p) for p in x)) if any(isinstance(p, int) for p in x) else list(chain.from_iterable(map(get, x))) for x in parts]
+        return [list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in x)) for x in parts]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that the vocabulary lacks are left out."""
