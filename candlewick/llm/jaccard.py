@@ -495,7 +495,9 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     found = stage(jaccard_components(docs, n, num, den, id_col, text_col), "components")
     gone = found.where(F.col("component_id").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) != F.col("component_id"))) & (F.col("n_shingles") > 0)).select(id_col).distinct()
     repeated = found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").select(id_col)
-    kept = docs.join(gone.where(F.col(id_col).isNotNull()), id_col, "left_anti").select(docs.columns)
+    gone = gone.where(F.col(id_col).isNotNull())
+    # Up to the bound the texts stay where they are; beyond it they are shuffled once.
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_col, "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
     twice = kept.join(repeated, id_col, "left_semi").select(docs.columns).groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row")).select("row.*")
