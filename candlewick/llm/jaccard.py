@@ -33,6 +33,8 @@ LEVELS = 3
 #: A shingle held by more nodes than this gives a forest instead of pairs, and by more than MANY one tree of all of them.
 PAIRS_OF = 12
 MANY = 4_096
+#: A shingle estimated to occur so often is dealt out by node as well, and all its holders are tied to it.
+HOT = 1_000_000
 #: Bins of the histograms, and the size from which a set's histogram says nothing, as counts end at 255.
 BINS = 256
 LONG = 20_000
@@ -172,8 +174,11 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int)
     return s[order[:size]], np.maximum(1, np.arange(1, size + 1) - first + 1), level
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, text_col: str) -> DataFrame:
-    """(token, node, meta, salt) for each shingle of each set's prefix; a task gives a set once, however often it has it."""
+def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, text_col: str, many: int = HOT) -> DataFrame:
+    """(token, node, meta, salt) for each shingle of each set's prefix; a task gives a set once, however often it has it.
+
+    salt: 0 for all holders of a shingle, or above 0 for all of them if its estimated count reaches `many`.
+    """
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -198,9 +203,9 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, t
             if tokens:
                 t = np.concatenate(tokens)
                 # A shingle that may have millions of holders is dealt out by node as well.
-                hot = own[(t & np.uint64(len(own) - 1)).astype(np.int64)] // 1_000_000
+                hot = own[(t & np.uint64(len(own) - 1)).astype(np.int64)] // many
                 node = np.concatenate(nodes)
-                salt = np.where(hot > 0, (node & 0xFFFF) % (hot + 1), 0)
+                salt = np.where(hot > 0, 1 + (node & 0xFFFF) % (hot + 1), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(node), pa.array(np.concatenate(metas).astype(np.int64)), pa.array(salt.astype(np.int32))], names=["token", "node", "meta", "salt"])
 
     return docs.select(text_col).transform(arrow, run, "token long, node long, meta long, salt int")
@@ -426,7 +431,7 @@ def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block
     return found.unionAll(more).where("a <> b")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
     Two documents link when den * |intersection| >= num * |union| of their shingle sets (compared by 64-bit
@@ -447,7 +452,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     marks = stage(_fingerprints(docs, n, id_col, text_col), "keys")
     keys = marks.where("chunk is null").select(id_col, "n", "k1", "k2", "bins")
     nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"))
-    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), text_col))
+    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), text_col, hot))
     bins = keys.where("n > 0").groupBy(F.col("k1").alias("node")).agg(F.min("bins").alias("bins"))
     edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den), "edges")
     pairs = edges.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")

@@ -84,6 +84,14 @@ def test_jaccard_without_broadcasts(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs, group=300, block=8).collect())) == brute_jaccard(rows, 3, 90, 100)
 
 
+def test_jaccard_holders_of_hot_shingles_meet(spark):
+    """A shingle that occurs often is dealt out by node; few or many holders, all of them still meet."""
+    rows = near_texts(12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2, 5):
+        assert sorted(map(tuple, jaccard.jaccard_components(docs, hot=hot).collect())) == brute_jaccard(rows, 3, 90, 100)
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (9, "A b c d"), (8, None), (8, None), (None, "a b c d"), (None, "z")], "doc_id long, text string")
