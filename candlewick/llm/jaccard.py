@@ -219,6 +219,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held: list[np.ndarray] | None = None  # the last shingle's rows, as more may follow in the next batch
+        sent = False  # whether other rows of that shingle went out already
         for b in batches:
             c = [b.column(i).to_numpy() for i in range(4)]
             if held is not None:
@@ -228,12 +229,16 @@ def _shared(rows: DataFrame) -> DataFrame:
             fresh = first | np.r_[True, node[1:] != node[:-1]]
             run_of = np.cumsum(first) - 1
             nodes = np.bincount(run_of, fresh)
+            nodes[0] += sent
             last = run_of == run_of[-1]
             give = fresh & (nodes[run_of] > 1) & ~last | (salt > 0) & fresh & ~last
             tail = np.flatnonzero(last & fresh)
             if len(tail) > MANY:  # enough to know: all but one row go out, and that one stays to be met by later ones
                 give[tail[:-1]] = True
                 tail = tail[-1:]
+                sent = True
+            else:
+                sent = sent and not run_of[-1]
             held = [x[tail] for x in c]
             if give.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in c], names=names)

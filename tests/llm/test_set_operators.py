@@ -92,6 +92,19 @@ def test_jaccard_holders_of_hot_shingles_meet(spark):
         assert sorted(map(tuple, jaccard.jaccard_components(docs, hot=hot).collect())) == brute_jaccard(rows, 3, 90, 100)
 
 
+def test_shared_gives_the_last_holder_of_a_large_shingle(spark):
+    """Batches have 1,000 rows: of shingle 1 all but one row are out when its last ends, and nothing or the same node follows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for more in ([], [4999] * 7):
+            rows = [(1, x, 0, 0) for x in [*range(5000), *more]] + [(2, 1, 0, 0), (2, 2, 0, 0), (3, 9, 0, 0), (4, 1, 0, 0), (4, 2, 0, 0)]
+            got = sorted((r.token, r.node) for r in jaccard._shared(spark.createDataFrame(rows, "token long, node long, meta long, salt int")).collect())
+            assert got == [(1, x) for x in range(5000)] + [(2, 1), (2, 2), (4, 1), (4, 2)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (9, "A b c d"), (8, None), (8, None), (None, "a b c d"), (None, "z")], "doc_id long, text string")
