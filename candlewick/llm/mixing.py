@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,18 +28,19 @@ BUCKET_ROWS = 50_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares that sum to the period and are at least 1, in the weights' proportions by largest remainders (ties by name)."""
+    """Whole shares that sum to the period and are at least 1, in the weights' proportions by largest remainders (ties by name).
+
+    The period grows until the smallest weight gets a share.
+    """
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights lie above 0")
-    period = max(period, len(weights))
-    total = sum(map(Fraction, weights.values()))
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    left = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (-(exact[s] - out[s]), s))[: max(0, left)]:
+    own = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(own.values())
+    period = max(period, ceil(total / min(own.values(), default=1)))
+    exact = {s: w * period / total for s, w in own.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: period - sum(out.values())]:
         out[s] += 1
-    while sum(out.values()) > period:  # sources raised to 1 are paid for by the largest
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s], s))] -= 1
     return out
 
 

@@ -227,6 +227,23 @@ def test_schedule_deviates_by_less_than_a_block(weights):
     assert had == parts
 
 
+@pytest.mark.parametrize("counts", [[100_000, 1, 1, 1], [5_000_000, 2_000_000, 3_000_000] + [20] * 6, [1] * 1_000 + [1_000] * 500])
+def test_each_source_has_a_share(counts):
+    weights = mixing.default_weights({f"s{i}": n for i, n in enumerate(counts)})
+    parts = mixing.shares(weights)
+    period = sum(parts.values())
+    assert min(parts.values()) > 0
+    assert all(abs(parts[s] - w * period / sum(weights.values())) < 1 for s, w in weights.items())
+
+
+def test_mixing_a_hot_source_with_tiny_ones(spark):
+    rows = [(i, "a") for i in range(3000)] + [(5000 + i, f"t{i}") for i in range(3)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 1e4, "t0": 1.0, "t1": 1.0, "t2": 1.0}, block=100).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    slots = {r.slot for r in got}
+    assert len(slots) == 33 and all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_mixing_keeps_all_rows_in_schedule_order(spark, tmp_path):
     rng = random.Random(3)
     sizes = {"a": 4000, "b": 500, "": 60, "d": 1}
