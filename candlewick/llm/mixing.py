@@ -5,26 +5,30 @@ floor((i - 1) / w) and the deadline ceil(i / w). In each slot one block runs: of
 with the earliest deadline, which for a total weight of 1 meets all deadlines, so that after t slots each
 source has had more than w t - 1 and less than w t + 1 blocks.
 
-Weights are whole shares of a period of P slots, so the schedule of one period, P rows, is all of it: block i of a
-source with a shares runs in slot P * ((i - 1) // a) + the period's slot of its ((i - 1) mod a)-th block. When a
-source has no blocks left, the others are scheduled on with weights in the same proportions.
+Weights are exact fractions, so this holds however long the schedule is. It is made in one pass by one task, a row
+for each block, and rows of documents meet it by source and chunk of blocks. When a source has no blocks left, the
+others are scheduled on with weights in the same proportions.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from math import ceil
+from itertools import islice
+from math import ceil, gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions
+from .common import BROADCAST_ROWS, arrow, partitions, stage
 
 PERIOD = 1_000
 BLOCK = 64
 #: Rows of a source that one group ranks, at most about so many.
 BUCKET_ROWS = 50_000
+#: Blocks of a source in one row of the plan, and the blocks up to which a plan (24 bytes each) is broadcast.
+CHUNK = 1_024
+PLAN_BLOCKS = 1_000_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -44,8 +48,19 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def edf(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period: (source, block from 1, slot, release, deadline) for each block, by earliest deadline first.
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the weights' proportions."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights lie above 0")
+    own = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(w.denominator for w in own.values()))
+    out = {s: w.numerator * (unit // w.denominator) for s, w in own.items()}
+    least = gcd(*out.values())
+    return {s: n // least for s, n in out.items()}
+
+
+def fair(parts: dict[str, int]):
+    """Without end: (source, block from 1, slot, release, deadline) for each block, by earliest deadline first.
 
     Ties of deadlines go to the earlier next deadline (the block whose source waits for less), then to the smaller name.
     """
@@ -55,48 +70,71 @@ def edf(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     waiting = [(0, s, 1) for s in sorted(parts)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline(s, i), deadline(s, i + 1), s, i))
         due, _, s, i = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline is missed")
-        out.append((s, i, slot, release(s, i), due))
-        if i < parts[s]:
-            heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
-    return out
+        yield s, i, slot, release(s, i), due
+        heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
+        slot += 1
+
+
+def edf(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The blocks of one period of fair()."""
+    return list(islice(fair(parts), sum(parts.values())))
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple[str, int, int, int, int, int, int, int, int]]:
-    """Phases of the whole schedule, each a table of one period: (source, phase's first block, its last, shares, place in the period, its slot, release, deadline, the phase's first slot).
+def plan(blocks: dict[str, int], weights: dict[str, float], period: int | None = None):
+    """(source, block, slot, release, deadline) for each block of the whole schedule, ascending by slot.
 
-    A phase ends after the last whole period that all its sources have blocks for, and then after the
-    part of a period until one runs out; the rows number at most sources * (sources + period).
+    When a source that has no blocks left would run, a new phase begins in that slot with the others.
     """
-    left, done, at, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    left = {s: n for s, n in left.items() if n}
+    left, at = {s: n for s, n in blocks.items() if n}, 0
+    done = dict.fromkeys(left, 0)
     while left:
-        parts = shares({s: weights[s] for s in left}, period)
-        table = edf(parts)
-        whole = min(left[s] // parts[s] for s in left)
-        # The slots of the unfinished period until the first source has none left.
-        rest = {s: left[s] - whole * parts[s] for s in left}
-        stop = len(table)
-        for s, i, slot, _, _ in table:
-            if i == rest[s] + 1:
-                stop = min(stop, slot)
-        had = {s: whole * parts[s] + sum(1 for t, _, slot, _, _ in table if t == s and slot < stop) for s in left}
-        for s, i, slot, release, due in table:
-            rows.append((s, done[s], done[s] + had[s], parts[s], i - 1, slot, release, due, at))
-        at += whole * len(table) + stop
-        for s in list(left):
-            done[s] += had[s]
-            left[s] -= had[s]
+        live = {s: weights[s] for s in left}
+        for s, _, slot, release, due in fair(shares(live, period) if period else whole(live)):
             if not left[s]:
-                del left[s]
-    return rows
+                break
+            yield s, done[s], at + slot, at + release, at + due
+            done[s] += 1
+            left[s] -= 1
+        at += slot
+        left = {s: n for s, n in left.items() if n}
+
+
+def _plan(spark, blocks: dict[str, int], weights: dict[str, float], period: int | None) -> DataFrame:
+    """(__s, __chunk, __slots, __releases, __dues): the plan in arrays of CHUNK blocks of a source, made by one task."""
+    import pyarrow as pa
+
+    names = ["__s", "__chunk", "__slots", "__releases", "__dues"]
+
+    def batch(rows):
+        kinds = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    def run(batches):
+        for _ in batches:
+            pass
+        open_, full = {}, []
+        for s, i, *own in plan(blocks, weights, period):
+            row = open_.setdefault(s, (s, i // CHUNK, [], [], []))
+            for to, x in zip(row[2:], own, strict=True):
+                to.append(x)
+            if len(row[2]) == CHUNK:
+                full.append(open_.pop(s))
+            if len(full) == 64:
+                yield batch(full)
+                full = []
+        rows = full + list(open_.values())
+        for k in range(0, len(rows), 1_000):
+            yield batch(rows[k : k + 1_000])
+
+    return stage(spark.range(0, 1, 1, 1).transform(arrow, run, "__s string, __chunk long, __slots array<long>, __releases array<long>, __dues array<long>"), "plan")
 
 
 def default_weights(counts: dict[str, int], power: float = 0.7) -> dict[str, float]:
@@ -104,18 +142,19 @@ def default_weights(counts: dict[str, int], power: float = 0.7) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
     """(id, source, block, slot, release, deadline[, carried columns]) for each row of docs; slots are those of one long schedule.
 
     block: rows of a block, in an order by hash of the id (ties by id and text of all carried columns); a
     source's last block may hold fewer. weights: target weights by source, by default by size to the power
-    0.7; each source of docs must have one. A null source is a source of its own, named "". Nothing is
+    0.7; each source of docs must have one. period: round the weights to whole shares of so many slots; by
+    default they are taken as they are. A null source is a source of its own, named "". Nothing is
     dropped and nothing repeated: when a source ends, the others go on in their proportions. Rows that
     repeat are rows of their own. An empty table gives an empty result. Extra columns may have any names.
 
     Ranks within a source come from counts of hash buckets of bounded size plus ranks within a bucket, so a
-    source that holds a third of all rows is dealt out over many tasks. The number of sources is that
-    of a table's sources, counted before its plan is broadcast.
+    source that holds a third of all rows is dealt out over many tasks. The plan is broadcast up to PLAN_BLOCKS
+    blocks; beyond it rows are shuffled once more, by source and chunk.
     """
     spark = docs.sparkSession
     carry = [c for c in (carry or []) if c not in (id_col, source_col)]
@@ -135,31 +174,23 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     ranked = own.withColumn("__r", F.row_number().over(order) - 1)
     starts_few = len(counts) * buckets <= BROADCAST_ROWS
     ranked = ranked.join(F.broadcast(starts) if starts_few else starts, ["__s", "__b"]).withColumn("__block", F.floor((F.col("__start") + F.col("__r")) / block))
-    rows = plan({s: -(-n // block) for s, n in counts.items()}, wanted, period)
-    table = spark.createDataFrame(rows, "__s string, __from long, __to long, __shares long, __place long, __slot long, __release long, __due long, __at long")
-    # A phase's rows of one source differ in place; the phases of one source don't overlap.
-    phases = table.groupBy("__s", "__from", "__to", "__shares", "__at").agg(F.map_from_entries(F.collect_list(F.struct("__place", F.struct("__slot", "__release", "__due")))).alias("__places"))
-    by_source = phases.where("__to > __from").groupBy("__s").agg(F.collect_list(F.struct("__from", "__to", "__shares", "__at", "__places")).alias("__phases"))
-    lengths = {}
-    for r in rows:
-        lengths[r[8]] = lengths.get(r[8], 0) + 1
-    found = ranked.join(F.broadcast(by_source), "__s").withColumn("__p", F.get(F.filter("__phases", lambda p: (p["__from"] <= F.col("__block")) & (F.col("__block") < p["__to"])), F.lit(0)))
-    length = F.create_map(*[F.lit(x).cast("long") for a, n in lengths.items() for x in (a, n)])[F.col("__p.__at")] if lengths else F.lit(None).cast("long")
-    i = F.col("__block") - F.col("__p.__from")
-    place = F.try_element_at(F.col("__p.__places"), F.pmod(i, F.col("__p.__shares")))
-    base = F.col("__p.__at") + F.floor(i / F.col("__p.__shares")) * length
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    table = _plan(spark, blocks, {s: wanted[s] for s in counts}, period)
+    ranked = ranked.withColumn("__chunk", F.floor(F.col("__block") / CHUNK).cast("long"))
+    found = ranked.join(F.broadcast(table) if sum(blocks.values()) <= PLAN_BLOCKS else table, ["__s", "__chunk"])
+    place = F.pmod(F.col("__block"), F.lit(CHUNK)).cast("int")
     return found.select(
         F.col("__id").alias(id_col),
         F.col("__source").alias(source_col),
         F.col("__block").cast("long").alias("block"),
-        (base + place["__slot"]).cast("long").alias("slot"),
-        (base + place["__release"]).cast("long").alias("release"),
-        (base + place["__due"]).cast("long").alias("deadline"),
+        F.get("__slots", place).alias("slot"),
+        F.get("__releases", place).alias("release"),
+        F.get("__dues", place).alias("deadline"),
         *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)],
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs in the order of the schedule: partitions, and rows within them, ascend by slot, so files written from it are in mixed order.
 
     All rows and columns of docs stay; in every prefix that no source has run out before, each source's

@@ -244,6 +244,29 @@ def test_mixing_a_hot_source_with_tiny_ones(spark):
     assert len(slots) == 33 and all(r.release <= r.slot < r.deadline for r in got)
 
 
+@pytest.mark.parametrize("weights", [mixing.default_weights({f"s{i}": n for i, n in enumerate((5_000_000, 2_000_000, 1_700_000, 900_000, 400_000))}), {"a": 1.0, "b": 0.7, "c": 0.0003}])
+def test_long_schedule_keeps_to_the_given_weights(weights):
+    own = mixing.whole(weights)
+    total, had = sum(own.values()), dict.fromkeys(own, 0)
+    for t, (s, i, slot, release, due) in enumerate(mixing.plan(dict.fromkeys(own, 100_000), weights)):
+        assert slot == t and i == had[s] and release <= slot < due
+        had[s] += 1
+        if t % 101 == 0:
+            assert all(abs(had[x] * total - w * (t + 1)) < total for x, w in own.items())
+        if had[s] == 100_000:
+            break
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_mixing_over_several_chunks(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "PLAN_BLOCKS", most)
+    rows = [(i, "a" if i % 3 else "b") for i in range(4000)]
+    counts = {"a": sum(1 for r in rows if r[1] == "a"), "b": sum(1 for r in rows if r[1] == "b")}
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), block=1).collect()
+    assert sorted((r.source, r.block, r.slot, r.release, r.deadline) for r in got) == sorted(mixing.plan(counts, mixing.default_weights(counts)))
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+
+
 def test_mixing_keeps_all_rows_in_schedule_order(spark, tmp_path):
     rng = random.Random(3)
     sizes = {"a": 4000, "b": 500, "": 60, "d": 1}
