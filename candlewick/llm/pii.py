@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, URL schemes, digits and cue words of
 identifiers. A deterministic local parser expands each anchor to both sides, to a bounded match, and
-validates it. Parsers look at the characters round the anchor only, so a text costs its length plus its matches.
+validates it. Parsers look at the characters round the anchor only, and no parser goes over the same characters
+again for a later anchor of its kind, so a text costs its length plus its matches.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"[ ().0-9-]+[0-9]")
 _USER = re.compile(r"[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s]*)?")
-_CODE = re.compile(r"(?:[ \t]*(?:no|nr|number)\b\.?)?[ \t]*[:#=]?[ \t]*([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9])")
+#: Runs of blanks are possessive: given back, they would be tried again at each place.
+_CODE = re.compile(r"(?:[ \t]*+(?:no|nr|number)\b\.?)?[ \t]*+[:#=]?[ \t]*+([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 Span = tuple[str, int, int]
@@ -63,7 +65,7 @@ class Finder:
     def spans(self, text: str) -> list[Span]:
         """All spans of a text, by start, then in the order of KINDS. Offsets are code points, ends exclusive."""
         out: list[Span] = []
-        done = {"email": 0, "ip": 0, "card": 0}
+        done = {"email": 0, "ip": 0, "card": 0, "url": 0}
         for last, (kind, size) in self.automaton.iter(text):
             if kind == "digit":
                 if last >= done["card"]:
@@ -75,8 +77,9 @@ class Finder:
             elif kind == "phone":
                 self._phone(text, last, out)
             elif kind == "url":
-                if m := _USER.match(text, last + 1):
+                if last >= done["url"] and (m := _USER.match(text, last + 1)):
                     out.append(("url", last + 1 - size, m.end()))
+                    done["url"] = m.end()
             else:
                 self._account(text, last + 1, size, out)
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -102,7 +105,7 @@ class Finder:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in four):
                 out.append(("ip", at, at + size))
             at += size + 1
         done["ip"] = m.end()
@@ -160,8 +163,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) for each row of docs.
 
-    Null and empty texts have no spans; repeated rows give repeated results; a null id stays null; other
-    columns, whatever their names, are not read. No shuffle: a row's result depends on that row only.
+    Null and empty texts have no spans; repeated rows give repeated results; a null id stays null; an empty
+    table gives an empty result; other columns, whatever their names, are not read. No shuffle: a row's result
+    depends on that row only, and takes time in proportion to its text.
     """
     import pyarrow as pa
 
@@ -187,7 +191,11 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with all spans in the text replaced by <KIND>, and the length (in code points) brought up to date. A null text stays null."""
+    """docs with all spans in the text replaced by <KIND>, and the length (in code points) brought up to date.
+
+    A null text stays null, an empty one empty; repeated rows stay as many; an empty table gives an empty result;
+    other columns, whatever their names and types, stay as they are.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -135,6 +136,29 @@ def test_more_spans_and_redaction(spark):
     assert sorted(map(tuple, pii.redact(docs).collect())) == [(1, "to <EMAIL>.", 11), (2, None, None), (3, "clean", 5)]
 
 
+HOSTILE = {"zeros": ("", "0"), "zero parts": ("", "0000."), "blanks after a cue": ("account", " "), "cues": ("", "account "), "addresses in an address": ("", "http://a@b/"), "ats": ("", "a@"), "pluses": ("", "+1 "), "digits": ("", "1 ")}
+
+
+def seconds(f, *args):
+    began = time.process_time()
+    f(*args)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_personal_data_in_hostile_texts_takes_linear_time(name):
+    a, b = HOSTILE[name]
+    small, large = (seconds(pii.finder().spans, a + b * (n // len(b))) for n in (500_000, 2_000_000))
+    assert large < max(1.0, 8 * small)
+
+
+def test_addresses_of_many_zeros(spark):
+    docs = spark.createDataFrame([(1, "0" * 5000 + ".1.1.1"), (2, "1" * 5000 + ".1.1.1")], "doc_id long, text string")
+    got = {r.doc_id: r.n_ip for r in pii.span_digests(pii.find_pii(docs)).collect()}
+    assert got == {1: 1, 2: 0}
+    assert pii.redact(docs.limit(0)).count() == 0 and pii.find_pii(docs.limit(0)).count() == 0
+
+
 TEST_PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><p>Site name</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div id="cookie-notice">We use cookies</div>
 <div class="content c12"><h1>Title &amp; more</h1><p>First   paragraph of the article,<br>with a break and <a href="x">a link</a>.<p><b>Second one
