@@ -177,6 +177,64 @@ def test_page_text(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+HOSTILE_PAGES = {
+    "open tags": ("", "<a "), "elements": ("", "<div class=a1>x"), "inline": ("", "<b>x"), "ends of nothing": ("<div>" * 20000, "</foo>"), "ends of paragraphs": ("<div>" * 20000, "</p>"),
+    "quotes": ("", "<a '> '"), "drawings": ("", "<svg>"), "ends of drawings": ("<svg>", "</svg"), "blocks in inline": ("<b>" * 20000, "<div></div>"), "links": ("<b>" * 20000, "<a>"),
+    "items": ("<span>" * 20000, "<li>x"), "rows": ("<table>", "<tr><td>x"), "signs": ("", "<"), "comments": ("", "<!--"), "declarations": ("", "<!x"), "attributes": ("", "<p a = "),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE_PAGES)
+def test_hostile_pages_take_linear_time(name):
+    a, b = HOSTILE_PAGES[name]
+    for end in ("", ">"):
+        small, large = (seconds(html_text.extract, a + b * (n // len(b)) + end, []) for n in (200_000, 800_000))
+        assert large < max(2.0, 8 * small)
+
+
+def made_page(rng, body="content"):
+    """A page of nested blocks and its main text by construction."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    text, parts = [], []
+    for k in range(rng.randint(3, 8)):
+        t = words(rng.randint(15, 60))
+        text.append(t)
+        t = t.replace(" ", rng.choice([" ", "  ", "\n", " <b>", "&#32;"]), 1).replace(" <b>", " <b>") + rng.choice(["", "</b>"])
+        parts.append({0: f"<p>{t}", 1: f"<p>{t}</p>", 2: f"<div class='part{k}'><p>{t}</p></div>", 3: f"<ul><li>{t}</ul>", 4: f"<blockquote>{t}</blockquote>"}[rng.randrange(5)])
+    title = words(4)
+    around = [f"<nav><a href='/'>{words(3)}</a></nav>", f"<div class='ad banner'>{words(9)}</div>", f"<aside><p>{words(30)}</p></aside>", f"<form><p>{words(5)}</form>", f"<script>var a = '<p>{words(3)}';</script>", f"<!-- {words(5)} -->"]
+    rng.shuffle(around)
+    html = f"<html><head><title>{words(3)}</title></head><body><header>{words(3)}</header>{''.join(around[:3])}<{body}><h1>{title}</h1>{''.join(parts)}</{body.split()[0]}><div id='comments'><p>{words(12)}</p></div>{''.join(around[3:])}<footer>{words(6)}</footer></body></html>"
+    return html, " ".join([title, *text])
+
+
+def test_pages_by_construction(spark):
+    rng = random.Random(21)
+    made = [made_page(rng, "article") for _ in range(150)]
+    pages = spark.createDataFrame([(i, f"http://h{i % 9}.example/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    for r in html_text.extract_pages(pages).collect():
+        assert r.text == made[r.page_id][1] and r.n_chars == len(r.text)
+
+
+def test_the_host_decides(spark):
+    """A page by itself would give its longest block; the host's other pages show where articles stand."""
+    page = lambda body, more: f"<html><body><div class='story'><p>{body}</p></div><div class='extra x1'><p>{more}</p></div></body></html>"
+    rows = [(i, page(f"article {i} " + "text " * 60, "more")) for i in range(8)] + [(8, page("short article " + "text " * 40, "something else " * 25))]
+    alone = html_text.extract(rows[8][1], [])
+    assert alone.startswith("something else")
+    pages = spark.createDataFrame([(i, "http://h.example/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got[8].startswith("short article") and "something" not in got[8] and got[0].startswith("article 0")
+    (paths,) = [r.paths for r in html_text.host_paths(pages).collect()]
+    assert paths[0].endswith("/div.story")
+
+
+def test_blocks_beside_the_longest_stay():
+    html = "<html><body><article><div class='lead'><p>" + "lead " * 10 + "</p></div><div class='body'><p>" + "body " * 90 + "</p></div><div class='share'>share</div></article></body></html>"
+    assert html_text.extract(html, []) == " ".join(["lead"] * 10 + ["body"] * 90)
+
+
 def test_pages_by_shuffled_hosts(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", TEST_PAGE) for i in range(12)], "page_id long, url string, html string")
     want = sorted(map(tuple, html_text.extract_pages(pages).collect()))
