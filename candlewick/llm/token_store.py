@@ -19,16 +19,19 @@ from . import words
 from .common import arrow, partitions, text_pieces
 
 END = 2
+#: Documents of a stripe, at most: some ten megabytes of ids, so that files of a few hundred are read by several tasks.
+STRIPE_ROWS = 10_000
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, stride: int = 1000, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, stride: int = 1_000, stripe_rows: int = STRIPE_ROWS, files: int | None = None) -> None:
     """Writes the token ids of docs under path, in ascending id order (null ids first, ties by text).
 
     One range shuffle of the texts; each task then encodes its sorted rows and writes one file. Columns:
     id, part and local_start (the ids before the document in its file; the base of a file is the sum of
     those before it), n_tokens (with the end id), tokens. Null and empty texts hold only the end id.
-    Writing goes through Spark's committer, so lost tasks are written again and never twice. An empty
-    table gives an empty folder. A document's ids must fit one array; other columns are not read.
+    Writing goes through Spark's committer, so lost tasks are written again and never twice. Repeated rows are
+    stored as often as they are there. An empty table gives an empty folder. A document's ids must fit one array;
+    other columns are not read. A stripe ends at stripe_rows documents or stripe_bytes, whichever comes first.
     """
     import pyarrow as pa
 
@@ -57,6 +60,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(stride))
         .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.stripe.row.count", str(stripe_rows))
         .option("orc.compress", "ZSTD")
         .orc(path)
     )

@@ -93,6 +93,31 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_store.digests(spark, empty).count() == 0
 
 
+def rows_read(frame):
+    """Rows that the scan gave, after stripes and row groups were skipped."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_stripes_are_several_and_skipped(spark, tmp_path):
+    """A file of many stripes: one id reads one row group; an id between stored ones reads none, by the Bloom filter."""
+    from pyarrow import orc
+
+    folder = f"file://{tmp_path}/tokens"
+    token_store.write_tokens(frame(spark, [(i * 7, f"text {i}") for i in range(12_000)]), folder, public_tokenizers.path("word_bpe_49k.json"), files=1, stripe_rows=2_000)
+    (file,) = tmp_path.glob("tokens/*.orc")
+    assert orc.ORCFile(str(file)).nstripes == 6
+    for wanted in (0, 7 * 2500, 7 * 11_999):
+        one = token_store.read_tokens(spark, folder, ids=[wanted])
+        assert [r.doc_id for r in one.collect()] == [wanted] and rows_read(one) <= 1000
+    gone = [token_store.read_tokens(spark, folder, ids=[7 * k + 3]) for k in range(500, 540)]
+    assert sum(map(rows_read, gone)) <= 0.1 * 1000 * len(gone)
+    assert rows_read(token_store.read_tokens(spark, folder)) == 12_000
+
+
 def base_spans(text):
     """The base kinds by regular expressions."""
     out = []
