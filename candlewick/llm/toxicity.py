@@ -29,6 +29,8 @@ SAMPLE_BYTES = 24_000
 NEAR = 0.35
 CONTEXT = 6
 THRESHOLD = 0.3
+#: Bytes of words whose potentials a worker keeps, about.
+CACHE = 50_000_000
 
 _INNER = re.compile(r"\w+")
 
@@ -233,11 +235,12 @@ def evidence_of(odds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _laid_out(field_: Field, texts: list[str], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     tokens = [t.split() for t in texts]
-    if len(cache) > 300_000:
+    if cache.get("", 0) > CACHE:  # no word is empty: there stand the bytes held, about
         cache.clear()
-    for w in {w for x in tokens for w in x}:
-        if w not in cache:
-            cache[w] = field_.potential(w)
+    fresh = {w for x in tokens for w in x}.difference(cache)
+    cache[""] = cache.get("", 0) + 150 * len(fresh) + 2 * sum(map(len, fresh))
+    for w in fresh:
+        cache[w] = field_.potential(w)
     get = cache.__getitem__
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int64)
     u = np.fromiter((v for x in tokens for v in map(get, x)), float, int(bounds[-1]))
@@ -309,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels that are null, and labels without a document, are left out; of several labels of one id the
     greatest counts. Documents of more than SAMPLE_BYTES and null texts are no training examples (they are
-    scored like all others). With no toxic example the field says 0 for every text.
+    scored like all others); repeated rows of an id are one example. With no toxic example, as from empty
+    tables, the field says 0 for every text. Columns besides the named ones are not read.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     order = F.xxhash64(F.col("__id").cast("string"), F.lit(11))
@@ -324,8 +328,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """(id, score, spans array<struct<start, end, probability>>) for each row of docs.
 
-    Null and empty texts have the score of no evidence and no spans; repeated rows give repeated results;
-    other columns, whatever their names, are not read. No shuffle: a row's result depends on that row only.
+    Null and empty texts have the score of no evidence and no spans; repeated rows give repeated results; an
+    empty table gives an empty result; other columns, whatever their names, are not read. No shuffle: a row's
+    result depends on that row only.
     """
     import pyarrow as pa
 
@@ -343,8 +348,16 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).transform(arrow, run, f"`{id_col}` {kind}, score double, spans array<struct<start:long,end:long,probability:double>>")
 
 
+def offsets(spans: str):
+    """Spans as text: start:end of each, comma-joined; code points, ends exclusive."""
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
+
+
 def keep_clean(docs: DataFrame, model: Field, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns; null texts stay."""
+    """The rows of docs whose score is below the threshold, with all their columns, whatever their names and types.
+
+    Null and empty texts stay; of repeated rows all stay or all go; an empty table gives an empty result.
+    """
     import pyarrow as pa
 
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
