@@ -40,10 +40,10 @@ def byte_letters() -> dict[str, int]:
 class TrieBPE:
     """Encodes words with a byte-level BPE vocabulary given as a tokenizers file's text.
 
-    limit: words whose ids are kept; beyond it only those in use stay, so memory is bounded.
+    limit: bytes of words and their ids that are kept, about; beyond it only those in use stay, so memory is bounded.
     """
 
-    def __init__(self, json_text: str, limit: int = 500_000):
+    def __init__(self, json_text: str, limit: int = 100_000_000):
         import regex
 
         spec = json.loads(json_text)
@@ -78,6 +78,7 @@ class TrieBPE:
         self.pattern, self.library, self.json_text = regex.compile(PATTERN), None, json_text
         self.limit = limit
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE, by the merges in order of rank; used only for short strings, to judge tokens and pairs of tokens."""
@@ -196,8 +197,9 @@ class TrieBPE:
         return [found[0], *[" " + x for x in found[1:]]] if found[0] else [" " + x for x in found[1:]]
 
     def _known(self, distinct: set[str]) -> None:
-        if len(self.pieces) > self.limit:
+        if self.held > self.limit:
             self.pieces = {p: self.pieces[p] for p in distinct if p in self.pieces}
+            self.held = words.weight(self.pieces)
         # A space or none and letters: one word. The others are split.
         whole, split = [], {}
         for p in distinct.difference(self.pieces):
@@ -205,6 +207,7 @@ class TrieBPE:
                 whole.append(p)
             else:
                 split[p] = self._split(p)
+        self.held += words.weight(whole) + words.weight(split)
         encoded = self.encode_words([w.encode() for w in {*whole, *chain.from_iterable(split.values())}])
         for p in whole:
             self.pieces[p] = encoded[p.encode()]
@@ -243,8 +246,8 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: st
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for each row of docs.
 
     path: a byte-level BPE file of the tokenizers library. Null and empty texts have no ids and decode to
-    the empty text; repeated rows give repeated results; a null id stays null; other columns, whatever
-    their names, are not read. No shuffle: a row's result depends on that row only.
+    the empty text; repeated rows give repeated results; a null id stays null; an empty table gives an empty
+    result; other columns, whatever their names, are not read. No shuffle: a row's result depends on that row only.
     """
     import pyarrow as pa
 

@@ -16,8 +16,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, n_bytes, n_tokens, over_limit) for each row of docs.
 
     path: a tokenizers file whose pre-tokenizer drops white space. Null and empty texts count 0 bytes and
-    0 tokens; repeated rows give repeated results; a null id stays null; other columns, whatever their
-    names, are not read. No shuffle: a row's result depends on that row only.
+    0 tokens; repeated rows give repeated results; a null id stays null; an empty table gives an empty result;
+    other columns, whatever their names, are not read. No shuffle: a row's result depends on that row only.
     """
     import pyarrow as pa
 

@@ -50,13 +50,17 @@ _MULT = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 
 
 class _Words(dict):
-    """64-bit hashes of words, kept up to a bound."""
+    """64-bit hashes of words, kept up to about a bound in bytes."""
+
+    limit, held = 60_000_000, 0
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if self.held > self.limit:
             self.clear()
+            self.held = 0
+        self.held += 180 + len(word)
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 

@@ -58,16 +58,21 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
+def weight(words) -> int:
+    """About the bytes that a table of these words takes: entries, words, and a number for each few characters."""
+    return 200 * len(words) + 4 * sum(map(len, words))
+
+
 class WordEncoder:
     """Ids of each word, kept in a table of bounded size.
 
     Words of plain characters are lower-cased and split as the vocabulary's pattern does; the distinct parts
     go to the library joined by spaces, and the ids are parted where a token ends a word. All other words
-    go to it by themselves. limit: words kept; batch_bytes: about so many characters go to the library
-    at once, so that batches are even in bytes whatever the words' lengths.
+    go to it by themselves. limit: bytes of words kept, about; batch_bytes: about so many characters go to the
+    library at once, so that batches are even in bytes whatever the words' lengths.
     """
 
-    def __init__(self, json_text: str, limit: int = 900_000, batch_bytes: int = 50_000, piece: int = 20_000):
+    def __init__(self, json_text: str, limit: int = 160_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
         self.tokenizer, self.limit, self.batch_bytes, self.piece = load(json_text), limit, batch_bytes, piece
         spec = json.loads(json_text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
@@ -81,6 +86,7 @@ class WordEncoder:
             self.ends[i] = token.endswith(self.suffix)
         self.known: dict[str, dict] = {"ids": {}, "lengths": {}}
         self.parts: dict[str, dict] = {"ids": {}, "lengths": {}}
+        self.held = {"ids": 0, "lengths": 0}
 
     def _batches(self, items: list[str]):
         """Lists of items balanced by size."""
@@ -117,9 +123,10 @@ class WordEncoder:
     def _fill(self, what: str, words: set[str]) -> dict:
         """The table with all of `words` in it."""
         known, parts, kept, joined = self.known[what], self.parts[what], self.keep[what], self.join[what]
-        if len(known) + len(parts) > self.limit:
+        if self.held[what] > self.limit:
             known = self.known[what] = {w: known[w] for w in words if w in known}
             parts.clear()
+            self.held[what] = weight(known)
         single, split, odd, mark = {}, {}, [], self.mark
         for w in words.difference(known):
             if w.isascii() and w.isalpha():
@@ -130,7 +137,9 @@ class WordEncoder:
                 odd.append(w)
         missing = set(single.values())
         missing.update(*split.values())
-        parts.update(self._encode_parts(list(missing.difference(parts)), what))
+        missing.difference_update(parts)
+        self.held[what] += weight(missing) + weight(single) + weight(split) + weight(odd)
+        parts.update(self._encode_parts(list(missing), what))
         get = parts.__getitem__
         known.update(zip(single, map(get, single.values()), strict=True))
         for w, x in split.items():
