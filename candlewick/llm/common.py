@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Broadcasts happen only below this many rows of a counted side; above it the join is a shuffled one.
 BROADCAST_ROWS = 200_000
@@ -79,6 +80,45 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a Bloom filter, at most (8 MB): beyond some millions of keys it lets more through, and results stay exact.
+BLOOM_BITS = 1 << 26
+
+
+def bloom(keys: DataFrame):
+    """A function from a column to whether its value may be among the first column of `keys`: false only where it isn't; null where the value is null.
+
+    The filter is an array of 64-bit words, built by one aggregation and handed to the scan as a scalar subquery,
+    so rows that it rules out are never shuffled. Its size follows the number of keys up to BLOOM_BITS.
+    """
+    (name,) = keys.columns
+    bits = 1 << 10
+    n = keys.count()
+    while bits < min(16 * n, BLOOM_BITS):
+        bits *= 2
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (3, 5, 7)]
+    set_ = keys.where(F.col(name).isNotNull()).select(F.explode(F.array(*places(F.col(name)))).alias("p"))
+    held = set_.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    filled = held.unionAll(every).groupBy("w").agg(F.max_by("b", F.col("b") != 0).alias("b"))
+    array = stage(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("a")), "bloom")
+
+    def may_hold(column):
+        words = array.scalar()
+        test = None
+        for p in places(column):
+            bit = F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+            test = bit if test is None else test & bit
+        return F.when(column.isNotNull(), test)
+
+    return may_hold
+
+
+def plainly_named(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns named c0, c1, ..., and those names: names may hold dots and quotes, which references to them don't bear."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +127,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions to shuffle what is about as large as df into: the session's number, or one for each so many bytes if those are more."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(size, 1 << 47) // each if size < 1 << 60 else 0)
+
+
 _HELD: dict[str, tuple] = {}
 
 

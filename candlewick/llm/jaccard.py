@@ -21,8 +21,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, arrow, forget, held, partitions, stage, text_pieces
+from .common import BROADCAST_ROWS, arrow, bloom, held, plainly_named, stage, tasks, text_pieces
 from .graph import components
 
 #: Counters of estimated shingle frequencies; the estimates only order shingles and choose l, so results don't depend on them.
@@ -35,9 +36,9 @@ PAIRS_OF = 12
 MANY = 4_096
 #: A shingle estimated to occur so often is dealt out by node as well, and all its holders are tied to it.
 HOT = 1_000_000
-#: Bins of the histograms, and the size from which a set's histogram says nothing, as counts end at 255.
-BINS = 256
-LONG = 20_000
+#: Bins of the histograms: those of sets of up to so many shingles, and of larger ones; and the size from which a set's
+#: histogram says nothing, as counts end at 255.
+BINS = ((256, 64), (1_024, 128), (LONG := 20_000, 256))
 #: Estimated cost of a candidate, in prefix shingles.
 VERIFY = 16.0
 #: A candidate group of more shingles than this is compared in blocks of so many nodes.
@@ -98,6 +99,32 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(k[0]), int(k[1])
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall in each bin by the first bits of their hashes, up to 255."""
+    most = next((b for size, b in BINS if len(s) <= size), BINS[-1][1])
+    return np.minimum(np.bincount((s >> np.uint64(65 - most.bit_length())).astype(np.int64), minlength=most), 255).astype(np.uint8).tobytes()
+
+
+class Histograms:
+    """The histograms of one shingle's nodes; those of unequal bins are compared with the finer one's bins added up."""
+
+    def __init__(self, raw: list[bytes]):
+        self.bins = np.array([len(x) for x in raw])
+        self.at: dict[int, np.ndarray] = {}
+        for least in np.unique(self.bins).tolist():
+            own = self.at[least] = np.zeros((len(raw), least), np.int16)
+            for k in np.flatnonzero(self.bins >= least):
+                own[k] = np.frombuffer(raw[k], np.uint8).reshape(least, -1).sum(1)
+
+    def bound(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The most shingles that node i may share with each of the others."""
+        out, level = np.zeros(len(others), np.int64), np.minimum(self.bins[i], self.bins[others])
+        for b in np.unique(level).tolist():
+            some = level == b
+            out[some] = np.minimum(self.at[b][i], self.at[b][others[some]]).sum(1, dtype=np.int64)
+        return out
+
+
 def _need(n, num: int, den: int):
     """ceil(t n): the least overlap of a set of n shingles with any that it links to."""
     return -(-n * num // den)
@@ -119,7 +146,7 @@ def _fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
                 key = set_key(s)
                 size.append(len(s))
                 keys.append(key)
-                bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                bins.append(histogram(s))
                 if key not in seen:
                     seen.add(key)
                     fresh.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
@@ -215,7 +242,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, t
     return docs.select(text_col).transform(arrow, run, "token long, node long, meta long, salt int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, parts: int) -> DataFrame:
     """Of the prefixes' rows those whose shingle two nodes or more hold, each node once."""
     import pyarrow as pa
 
@@ -250,20 +277,21 @@ def _shared(rows: DataFrame) -> DataFrame:
             # Of a shingle whose earlier rows went out already, one row is left.
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
-    return rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "node").transform(arrow, run, "token long, node long, meta long, salt int")
+    return rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "node").transform(arrow, run, "token long, node long, meta long, salt int")
 
 
-def possible(sizes: np.ndarray, bins: np.ndarray, i: int, num: int, den: int, after: int) -> np.ndarray:
+def possible(sizes: np.ndarray, bins: Histograms, i: int, num: int, den: int, after: int) -> np.ndarray:
     """Of the nodes from `after` on those that node i may link with, by sizes and by the histograms' bound of the overlap."""
     n, other = int(sizes[i]), sizes[after:]
     fine = den * np.minimum(n, other) >= num * np.maximum(n, other)
     if n < LONG and fine.any():
-        most = np.minimum(bins[i], bins[after:]).sum(1, dtype=np.int64)
-        fine &= (den * most >= num * (n + other - most)) | (other >= LONG)
+        at = np.flatnonzero(fine)
+        most = bins.bound(i, at + after)
+        fine[at] = (den * most >= num * (n + other[at] - most)) | (other[at] >= LONG)
     return fine
 
 
-def bucket_edges(nodes: np.ndarray, meta: np.ndarray, bins: np.ndarray, num: int, den: int, out: list) -> None:
+def bucket_edges(nodes: np.ndarray, meta: np.ndarray, bins: Histograms, num: int, den: int, out: list) -> None:
     """Adds (a, b, need) for one shingle's nodes: pairs, or, if they are many, a forest with need 0."""
     sizes, levels, at, m = meta >> 16, meta >> 8 & 255, meta & 255, len(nodes)
     label = np.arange(m)
@@ -281,7 +309,7 @@ def bucket_edges(nodes: np.ndarray, meta: np.ndarray, bins: np.ndarray, num: int
                 label[label == label[i + 1 + j]] = label[i]
 
 
-def _bucket_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _bucket_edges(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """(a, b, need) of all shared shingles; rows: those of _shared, with each node's histogram."""
     import pyarrow as pa
 
@@ -290,7 +318,7 @@ def _bucket_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
         if len(node) > 1 and not salt[0]:
             node, one = np.unique(node, return_index=True)
             if len(node) > 1:
-                bucket_edges(node, meta[one], np.stack([np.frombuffer(bins[k], np.uint8) for k in one]), num, den, out)
+                bucket_edges(node, meta[one], Histograms([bins[k] for k in one]), num, den, out)
 
     def run(batches):
         held: list | None = None
@@ -320,7 +348,7 @@ def _bucket_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield _edges(pa, out)
 
-    return rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt").transform(arrow, run, "a long, b long, need int")
+    return rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").transform(arrow, run, "a long, b long, need int")
 
 
 def _edges(pa, out):
@@ -376,44 +404,57 @@ def link_labels(sets: list[np.ndarray], num: int, den: int, leaders: int | None
     return labels
 
 
-def _compared(rows: DataFrame, num: int, den: int, leaders: bool = False) -> DataFrame:
-    """(node, root) for each row of (gid, first, id, s): connected by links found among the rows of a gid.
+def _compared(rows: DataFrame, n: int | None, num: int, den: int, parts: int, leaders: bool = False) -> DataFrame:
+    """(a, b) for each node a that links connect with a smaller one of its group: b is the smallest of those.
 
-    Groups stream through sorted partitions; one group is in memory at a time. leaders: only rows with
-    first = 0 are compared with all the others of their group.
+    rows: (gid, first, id, s); id is (rep, k1, k2), s the set, or, with n given, the text whose n-word shingles have the
+    keys k1 and k2 (rows of other texts with that id are passed over). Groups stream through sorted partitions; one group
+    is in memory at a time, each node once. leaders: only rows with first = 0 are compared with all the others.
     """
     import pyarrow as pa
 
-    def flush(ids, sets, firsts, out):
-        order = np.argsort(np.array(firsts), kind="stable")
-        labels = link_labels([sets[i] for i in order], num, den, sum(f == 0 for f in firsts) if leaders else None)
-        for place, label in zip(order, labels, strict=True):
-            out.append((ids[place], ids[order[label]]))
+    def flush(group, out):
+        ids = sorted(group, key=lambda i: (group[i][0], i))
+        labels = link_labels([group[i][1] for i in ids], num, den, sum(f == 0 for f, _ in group.values()) if leaders else None)
+        least: dict[int, tuple] = {}
+        for i, label in zip(ids, labels.tolist(), strict=True):
+            least[label] = min(least.get(label, i), i)
+        out += [(i, least[label]) for i, label in zip(ids, labels.tolist(), strict=True) if i != least[label]]
+
+    def batch(out, kind):
+        name = lambda i: dict(zip(("rep", "k1", "k2"), i, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([name(x[k]) for x in out], kind) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        gid, ids, sets, firsts = None, [], [], []
-        for b in batches:
-            out = []
-            for g, f, i, s in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if g != gid:
-                    if ids:
-                        flush(ids, sets, firsts, out)
-                    gid, ids, sets, firsts = g, [], [], []
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-                firsts.append(f)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["a", "b"])
-        if ids:
-            out = []
-            flush(ids, sets, firsts, out)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["a", "b"])
+        now, group, kind = None, {}, None
+        for whole in batches:
+            for b in text_pieces([whole]):
+                out, kind = [], b.schema.field(2).type
+                for g, f, i, s in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    if g != now:
+                        flush(group, out)
+                        now, group = g, {}
+                    i = i["rep"], i["k1"], i["k2"]
+                    if i in group:
+                        continue
+                    if n is None:
+                        group[i] = f, np.frombuffer(s, np.uint64)
+                    else:
+                        own = shingles(s, n)
+                        if set_key(own) == i[1:]:
+                            group[i] = f, own
+                if out:
+                    yield batch(out, kind)
+        out = []
+        flush(group, out)
+        if out:
+            yield batch(out, kind)
 
-    n = partitions(rows.sparkSession)
-    return rows.select("gid", "first", "id", "s").repartition(n, "gid").sortWithinPartitions("gid").transform(arrow, run, "a string, b string")
+    named = dict(rows.dtypes)["id"]
+    return rows.select("gid", "first", "id", "s").repartition(parts, "gid").sortWithinPartitions("gid").transform(arrow, run, f"a {named}, b {named}")
 
 
-def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int, parts: int) -> DataFrame:
     """(a, b) that connect what is linked within candidate groups too large for one task.
 
     First a bounded number of leaders of each group meets each block of it. Then only pairs of nodes of
@@ -427,7 +468,7 @@ def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block
     gid = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first_round = marked.where("first = 0").withColumn("at", every).unionByName(marked.where("first = 1").withColumn("at", by_node))
-    found = stage(_compared(first_round.select(gid(F.col("cluster"), F.col("at")).alias("gid"), "first", "id", "s"), num, den, leaders=True), "links")
+    found = stage(_compared(first_round.select(gid(F.col("cluster"), F.col("at")).alias("gid"), "first", "id", "s"), None, num, den, parts, leaders=True), "links")
     roots = components(found)
     labelled = rows.select("cluster", "id").join(roots, F.col("id") == F.col("node"), "left").select("cluster", "id", F.coalesce("root", "id").alias("root"))
     most = labelled.groupBy("cluster", "root").agg(F.count("*").alias("held")).groupBy("cluster").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
@@ -436,83 +477,105 @@ def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block
     outside = rows.join(many, "cluster").join(rest.select("id"), "id", "left_semi").withColumn("rb", F.pmod(F.xxhash64("id", F.lit(7)), F.col("rest_blocks")))
     left = outside.withColumn("at", every).select(gid(F.col("cluster"), F.col("rb"), F.col("at")).alias("gid"), F.lit(0).alias("first"), "id", "s")
     right = rows.join(many, "cluster").withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).select(gid(F.col("cluster"), F.col("rb"), by_node).alias("gid"), F.lit(1).alias("first"), "id", "s")
-    more = stage(_compared(left.unionByName(right), num, den, leaders=True), "links")
-    return found.unionAll(more).where("a <> b")
+    more = stage(_compared(left.unionByName(right), None, num, den, parts, leaders=True), "links")
+    return found.unionAll(more)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
-
-    Two documents link when den * |intersection| >= num * |union| of their shingle sets (compared by 64-bit
-    hashes); component_id is the smallest id reachable by links, the document's own included. A document
-    without words has no shingles, links with nothing and is its own component. Documents of equal sets
-    are one node; rows that repeat an id stay as many rows. A null id is never a component's smallest, and a
-    set that only rows with null ids have is compared with nothing; its component is null. An empty table gives an empty result. Other columns, whatever
-    their names, are not read.
-
-    docs is scanned three times, always whole: for keys and frequencies, for prefixes, and, joined with the
-    candidates' ids, for their sets. No text is shuffled unless the candidates are too many to broadcast.
-    """
+def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group: int, block: int, hot: int) -> DataFrame:
+    """(id, n, k1, k2, root) for each row of docs: its number of shingles, its set's key, and (rep, k1, k2) of the first
+    node of its component, by rep, the smallest id of a node's rows; null without words."""
     import pyarrow as pa
 
     if not 0 < num <= den:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    spark = docs.sparkSession
-    marks = stage(_fingerprints(docs, n, id_col, text_col), "keys")
-    keys = marks.where("chunk is null").select(id_col, "n", "k1", "k2", "bins")
-    nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"))
-    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), text_col, hot))
+    parts = tasks(docs)
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marks = stage(_fingerprints(docs, n, "id", "text"), "keys")
+    keys = marks.where("chunk is null").select("id", "n", "k1", "k2", "bins")
+    nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), "text", hot), parts)
     bins = keys.where("n > 0").groupBy(F.col("k1").alias("node")).agg(F.min("bins").alias("bins"))
-    edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den), "edges")
+    edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den, parts), "edges")
     pairs = edges.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     clusters = components(pairs.unionAll(edges.where("need = 0").select("a", "b")))
     # Shingles are nodes of the graph as well; only sets' keys are met here.
-    wanted = stage(nodes.join(clusters, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "n", F.col("root").alias("cluster")), "wanted")
-    small = wanted.select("rep").distinct()
-    small = F.broadcast(small) if wanted.count() <= BROADCAST_ROWS else small
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(small, "rep", "left_semi")
+    wanted = stage(nodes.where("rep is not null").join(clusters, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "n", F.col("root").alias("cluster")), "wanted")
+    sizes = wanted.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("held")).where("nodes > 1").withColumn("large", F.col("held") > group)
+    named = F.struct("rep", "k1", "k2").alias("id")
+    picked = stage(wanted.join(sizes, "cluster").select("rep", "cluster", "large", "nodes", named), "picked")
+    texts = docs.where(bloom(picked.select("rep"))(F.col("id"))).select(F.col("id").alias("rep"), "text").join(picked, "rep")
+    fits = texts.where("not large").select(F.col("cluster").cast("string").alias("gid"), F.lit(0).alias("first"), "id", F.col("text").alias("s"))
+    links = stage(_compared(fits, n, num, den, parts), "links")
+    large = picked.where("large").groupBy("cluster").agg(F.max("nodes").alias("nodes"))
+    if large.isEmpty():
+        connected = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
 
-    def sets_of(batches):
-        for b in text_pieces(batches):
-            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
-            found = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "k1", "k2", "s"])
+        def sets_of(batches):
+            for b in text_pieces(batches):
+                sets = [shingles(t, n) for t in b.column(2).to_pylist()]
+                right = [set_key(s) == (i["k1"], i["k2"]) for s, i in zip(sets, b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "id", "s"]).filter(pa.array(right, pa.bool_()))
 
-    kind = dict(docs.dtypes)[id_col]
-    own = texts.transform(arrow, sets_of, f"rep {kind}, k1 long, k2 long, s binary").dropDuplicates(["rep", "k1", "k2"])
-    name = F.concat_ws(":", F.hex("k1"), F.hex("k2"))
-    sets = wanted.join(own, ["rep", "k1", "k2"]).select("cluster", "n", name.alias("id"), "s")
-    sizes = wanted.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("held")).where("nodes > 1")
-    sizes = sizes.withColumn("large", F.col("held") > group)
-    sets = stage(sets.join(sizes, "cluster"), "sets")
-    fits = sets.where("not large").select(F.col("cluster").cast("string").alias("gid"), F.lit(0).alias("first"), "id", "s")
-    links = _compared(fits, num, den).where("a <> b")
-    large = sizes.where("large").select("cluster", F.col("nodes"))
-    if not large.isEmpty():
-        connected = components(links.unionAll(_links_of_large(sets.where("large").select("cluster", "id", "s"), large, num, den, block)))
-    else:
-        # Each group's labels already name one node of each component.
-        connected = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        connected = connected.unionAll(connected.select(F.col("root").alias("node"), "root").distinct())
-    joined = nodes.withColumn("id", name).join(connected, F.col("id") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("root", "id").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = joined.join(least, "root").select("k1", "k2", "component_id")
-    out = keys.drop("bins").join(by_key, ["k1", "k2"], "left")
-    return out.select(id_col, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+        kind = dict(picked.dtypes)["id"]
+        sets = stage(texts.where("large").select("cluster", "id", "text").transform(arrow, sets_of, f"cluster long, id {kind}, s binary").dropDuplicates(["id"]), "sets")
+        connected = components(links.unionAll(_links_of_large(sets, large, num, den, block, parts)))
+    joined = nodes.join(connected.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", F.struct("rep", "k1", "k2")).alias("root"))
+    return keys.drop("bins").join(joined, ["k1", "k2"], "left").select("id", "n", "k1", "k2", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs.
+
+    Two documents link when den * |intersection| >= num * |union| of their shingle sets (compared by 64-bit
+    hashes); component_id is the smallest id reachable by links, the document's own included. A document
+    without words has no shingles, links with nothing and is its own component. Documents of equal sets
+    are one node; rows that repeat an id stay as many rows. A null id is never a component's smallest, and a
+    set that only rows with null ids have is compared with nothing; its component is null. An empty table gives
+    an empty result. Other columns, whatever their names, are not read.
+
+    docs is scanned three times, always whole: for keys and frequencies, for prefixes, and for the candidates'
+    texts. Only texts that a Bloom filter of the candidates' ids lets through are shuffled, at any size.
+    """
+    found = _classes(docs, n, num, den, id_col, text_col, group, block, hot)
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root.rep")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near copies, the one of the smallest id; of rows with one id one stays.
+    """docs with one row of each group of near copies: one of the smallest id, and of its rows of one set the first by hash.
+
+    Documents without words all stay. A set that only rows without an id have is compared with nothing, and one of its rows
+    stays. Rows of one id and unlike texts are judged each for itself. Empty tables give empty results; other
+    columns, whatever their names and types, stay as they are.
 
-    Rows without an id stay if their text has no words or a component of its own; documents without words all stay.
+    Rows that stay are never shuffled: a Bloom filter of the ids that go, or that several rows have, rules them out at
+    the scan, and only the rest meet those ids in a join.
     """
-    found = stage(jaccard_components(docs, n, num, den, id_col, text_col), "components")
-    gone = found.where(F.col("component_id").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) != F.col("component_id"))) & (F.col("n_shingles") > 0)).select(id_col).distinct()
-    repeated = found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").select(id_col)
-    gone = gone.where(F.col(id_col).isNotNull())
-    # Up to the bound the texts stay where they are; beyond it they are shuffled once.
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_col, "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, id_col, "left_semi").select(docs.columns).groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row")).select("row.*")
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(twice)
+    import pyarrow as pa
+
+    columns = docs.columns
+    rows, names = plainly_named(docs)
+    id_, text = names[columns.index(id_col)], names[columns.index(text_col)]
+    found = stage(_classes(docs, n, num, den, id_col, text_col, GROUP, BLOCK, HOT), "classes")
+    stays = found.withColumn("stays", (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("root.rep")) & (F.col("k1") == F.col("root.k1")) & (F.col("k2") == F.col("root.k2"))))
+    by_id = stays.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
+    judged = stage(by_id.where("not stays or rows > 1").select("id", (F.col("rows") > 1).alias("several")), "judged")
+    may_hold = F.coalesce(bloom(judged.select("id"))(F.col(id_)), F.lit(False))
+    met = rows.where(may_hold).join(judged, F.col(id_) == F.col("id"), "left")
+    kept = rows.where(~may_hold & F.col(id_).isNotNull()).unionAll(met.where("several is null").select(names))
+    # Rows that share an id or have none: by the keys of their sets.
+    several = met.where("several").select(names).unionAll(rows.where(F.col(id_).isNull()))
+    at, schema = names.index(text), several.schema
+
+    def keyed(batches):
+        for b in text_pieces(batches):
+            found = [set_key(s) if len(s) else (None, None) for s in (shingles(t, n) for t in b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], names=[*names, "k1", "k2"])
+
+    plain = [F.col(f.name) for f in schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    several = several.transform(arrow, keyed, StructType([*schema.fields, StructField("k1", LongType()), StructField("k2", LongType())]))
+    first = F.row_number().over(Window.partitionBy(id_, "k1", "k2").orderBy(F.xxhash64(*plain)))
+    chosen = several.where("k1 is not null").withColumn("place", first).where("place = 1")
+    one = stays.where("stays and n > 0").select(F.col("id").alias("j"), F.col("k1").alias("j1"), F.col("k2").alias("j2")).distinct()
+    chosen = chosen.join(one, F.col(id_).eqNullSafe(F.col("j")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left_semi")
+    return kept.unionAll(several.where("k1 is null").select(names)).unionAll(chosen.select(names)).toDF(*columns)

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, held, text_pieces
+from .common import arrow, held, plainly_named, text_pieces
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -199,8 +199,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    schema, at = docs.schema, docs.columns.index(text_col)
-    length = docs.columns.index(length_col) if length_col in docs.columns else None
+    rows, _ = plainly_named(docs)
+    at, length = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
         own = finder()
@@ -212,4 +212,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
                 columns[length] = pc.if_else(pc.is_null(columns[at]), columns[length], pc.utf8_length(columns[at]).cast(columns[length].type))
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.transform(arrow, run, schema)
+    return rows.transform(arrow, run, rows.schema).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, held, text_pieces
+from .common import arrow, held, plainly_named, text_pieces
 
 #: Documents of each label in the training sample, at most; and the bytes of one such document, at most.
 SAMPLE = 1_500
@@ -369,4 +369,5 @@ def keep_clean(docs: DataFrame, model: Field, text_col: str = "text", threshold:
             keep = [x < threshold or not t for t, (x, _) in zip(texts, own.scores(texts), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.transform(arrow, run, docs.schema)
+    rows, _ = plainly_named(docs)
+    return rows.transform(arrow, run, rows.schema).toDF(*docs.columns)

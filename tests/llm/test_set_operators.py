@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from candlewick.llm import jaccard, mixing, multi_index, topk
+from candlewick.llm import jaccard, mixing, multi_index, pii, topk, toxicity
 from candlewick.llm.graph import components
 
 
@@ -99,7 +99,7 @@ def test_shared_gives_the_last_holder_of_a_large_shingle(spark):
     try:
         for more in ([], [4999] * 7):
             rows = [(1, x, 0, 0) for x in [*range(5000), *more]] + [(2, 1, 0, 0), (2, 2, 0, 0), (3, 9, 0, 0), (4, 1, 0, 0), (4, 2, 0, 0)]
-            got = sorted((r.token, r.node) for r in jaccard._shared(spark.createDataFrame(rows, "token long, node long, meta long, salt int")).collect())
+            got = sorted((r.token, r.node) for r in jaccard._shared(spark.createDataFrame(rows, "token long, node long, meta long, salt int"), 1).collect())
             assert got == [(1, x) for x in range(5000)] + [(2, 1), (2, 2), (4, 1), (4, 2)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -121,6 +121,39 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def odd_columns(spark, rows):
+    """rows of (id, text) with columns whose names and types don't bear to be referred to plainly."""
+    return spark.createDataFrame([(i, t, "s", {"k": i or 0}, [(1, "x")], 5, "z") for i, t in rows], "doc_id long, text string, source string, `a.b` map<string,long>, `c ``d` array<struct<e:int,f:string>>, n_chars long, root string")
+
+
+@pytest.mark.parametrize("stage", [jaccard.keep_first, pii.redact, lambda d: toxicity.keep_clean(d, toxicity.Field({}, fitted=False)), mixing.mix])
+def test_stages_bear_odd_columns_repeats_nulls_and_empty_tables(spark, stage):
+    rows = [(i, f"text {i} of its own words {i * i} {i * 7}") for i in range(40)] + [(3, "text 3 of its own words 9 21"), (None, "no id at all here"), (None, None), (7, ""), (7, "x " * 200_000)]
+    docs = odd_columns(spark, rows)
+    got = stage(docs)
+    assert got.columns == docs.columns and [k for _, k in got.dtypes] == [k for _, k in docs.dtypes]
+    n = len(got.collect())
+    assert n == len(rows) - (1 if stage is jaccard.keep_first else 0)
+    assert stage(docs.limit(0)).count() == 0
+
+
+def test_keep_first_judges_rows_of_one_id_by_their_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red green blue white black brown pink grey")
+    rows = [(5, a), (5, b), (6, a), (7, b), (2, c), (5, c), (5, c), (None, c), (None, "none else has these very words of mine"), (None, "none else has these very words of mine"), (5, ""), (5, None)]
+    got = sorted(map(tuple, jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (2, c), (None, rows[8][1]), (5, ""), (5, None)], key=str)
+
+
+def test_histograms_bound_overlaps():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])) for n in (40, 190, 193, 200, 700, 800, 1500, 2500)]
+    own = jaccard.Histograms([jaccard.histogram(s) for s in sets])
+    for i, x in enumerate(sets):
+        bound = own.bound(i, np.arange(len(sets)))
+        assert all(len(np.intersect1d(x, y)) <= b <= min(len(x), len(y)) for y, b in zip(sets, bound))
+
+
 def test_prefixes_share_enough():
     """Any two sets that link share the smaller l of shingles within the l-prefixes."""
     rng = np.random.default_rng(3)
