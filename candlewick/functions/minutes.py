@@ -53,6 +53,10 @@ class Day:
         """The last row up to a slot, or the first row if none is."""
         return F.coalesce(F.try_element_at(F.filter(self.m, lambda x: x["minute"] <= at), F.lit(-1)), F.get(self.m, F.lit(0)))
 
+    def place(self, at: Column) -> Column:
+        """The number of the row that row() gives."""
+        return F.greatest(F.size(F.filter(self.m, lambda x: x["minute"] <= at)), F.lit(1))
+
     def rows(self, frm: Column, to: Column) -> Column:
         """The rows from the first at or after `frm` (the last if none is) to the last up to `to` (the first if none is); none if reversed."""
         lo = F.coalesce(F.array_min(F.transform(F.filter(self.m, lambda x: x["minute"] >= frm), lambda x: x["minute"])), F.array_max(F.transform(self.m, lambda x: x["minute"])))
@@ -93,7 +97,7 @@ class Day:
             return limit_price(self.before, self.rate, kind == "LimitUpPrice")
         if kind == "Slope":
             frm, to = self.time(v["from"], minute), self.time(v["to"], minute)
-            steps = F.greatest(F.size(self.rows(frm, to)) - 1, F.lit(1))
+            steps = F.greatest(self.place(to) - self.place(frm), F.lit(1))
             return (self.series(self.row(to), v["series"]) - self.series(self.row(frm), v["series"])) / steps
         if kind == "Duration":
             return self.count(v["pred"], v["from"], v["to"], minute).cast("double")

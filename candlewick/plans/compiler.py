@@ -37,6 +37,7 @@ class Compiler:
         self.vars: dict[str, tuple[Column, bool]] = {}
         self.fields: dict[tuple[Node, str, int], str] = {}
         self.days: dict[tuple[str, Node], str] = {}
+        self.prefix = "_"
 
     def field(self, stock: Node, name: str, offset: int = 0) -> str:
         if stock.kind == "Current":
@@ -136,7 +137,7 @@ class Compiler:
         if module is None:
             return F.lit(False)
         stock = own["stock"] if e.kind == "Intraday" else CURRENT
-        name = self.days.setdefault((own["anchor_point"], stock), f"__day{len(self.days)}")
+        name = self.days.setdefault((own["anchor_point"], stock), f"{self.prefix}_day{len(self.days)}")
         first, last = slot(time_of(own["time_from"])), slot(time_of(own["time_to"]))
         rate = limit_rate(F.col("market"), F.col("code"))
         if e.kind == "Intraday":

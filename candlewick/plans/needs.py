@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from .ast import Node, Path, Registry, Stage
-from .pattern import longest, partitions
+from .pattern import longest
 
 
 def walk(x):
@@ -70,12 +70,12 @@ def period_of(f: Node, params: dict) -> int:
 
 
 def reach(stage: Stage, registry: Registry) -> tuple[int, int]:
-    """(lookback, lookahead) of a stage in bars, one bar to spare; a stage that reads its window's start without a pattern has no bound (-1)."""
+    """(lookback, lookahead) of a stage in bars, one bar to spare; a stage that reads its window's start without a pattern has no bound: its lookback is below 0, minus the bars that it may read before the start."""
     back = ahead = 0
     indicator = 0
     for module, params in stage.indicators:  # later ones may read earlier ones' outputs
         indicator += max((formula_lookback(f, params) for _, f in registry.indicators[module]["outputs"]), default=0)
-    window = longest(partitions(stage.kline_pattern, stage.windowsize)) if stage.kline_pattern else 0
+    window = longest(stage.kline_pattern, stage.windowsize) if stage.kline_pattern else 0
     deltas = sum(abs(d["delta"]) for _, d in stage.points if d.kind == "Offset")
     start = False
     for x in stage_nodes(stage):
@@ -86,7 +86,7 @@ def reach(stage: Stage, registry: Registry) -> tuple[int, int]:
             back = max(back, 1 - min(0, x["at"].offset))
     nested = 2 if any(isinstance(x, Node) and x.kind in ("All", "Any", "CountBars", "Where") for x in stage_nodes(stage)) else 1
     if start:
-        return -1, ahead * nested + deltas
+        return (back * nested + deltas + 1) * -1, ahead * nested + deltas
     return back * nested + indicator + max(0, window - 1) + deltas + 1, ahead * nested + deltas
 
 

@@ -1,6 +1,7 @@
 """JSON, patterns and needs: no session."""
 
 import json
+import random
 from datetime import date, time
 from itertools import product
 
@@ -11,7 +12,7 @@ from candlewick.functions.minutes import slot
 from candlewick.plans import ast
 from candlewick.plans.ast import Block, Node, Path, Pattern, Pipeline, Stage, each, end, ex, fx, mx, named, point, tm, val
 from candlewick.plans.needs import needs_market, padded, reach
-from candlewick.plans.pattern import partitions
+from candlewick.plans.pattern import Matcher, TooMany, longest, partitions
 
 
 def sample(family, kind, depth=0):
@@ -96,12 +97,34 @@ def test_partitions_by_trying_all_sizes(codes, specs, size):
     want = {x for x in by_hand(codes, blocks) if lo <= x[0] <= hi}
     got = {(p.length, p.blocks) for p in partitions(Pattern("p", blocks), size) if p.length <= len(codes) and all(a in (".", b) for a, b in zip(p.letters, codes[len(codes) - p.length :]))}
     assert got == want
+    assert set(Matcher(Pattern("p", blocks), size or (1, len(codes))).windows(codes)) == want
 
 
-def test_too_many_partitions_are_an_error():
+def test_windows_in_random_candles():
+    rng = random.Random(7)
+    for _ in range(400):
+        blocks = [Block(f"b{i}", rng.choice(["Up", "Down", "Doji", "Any"]), least := rng.randint(0, 2), rng.choice([None, least + rng.randint(0, 2)]), rng.random() < 0.2, rng.random() < 0.3) for i in range(rng.randint(1, 4))]
+        codes = "".join(rng.choice("UUDN") for _ in range(rng.randint(1, 7)))
+        lo, hi = (1, len(codes)) if rng.random() < 0.5 else (2, rng.randint(2, 7))
+        want = {x for x in by_hand(codes, blocks) if lo <= x[0] <= hi}
+        assert set(Matcher(Pattern("p", blocks), (lo, hi)).windows(codes)) == want, (codes, blocks)
+        listed = {(p.length, p.blocks) for p in partitions(Pattern("p", blocks), (lo, hi)) if p.length <= len(codes) and all(a in (".", b) for a, b in zip(p.letters, codes[len(codes) - p.length :]))}
+        assert listed == want, (codes, blocks)
+
+
+def test_too_many_partitions_are_not_listed():
     blocks = [Block(f"b{i}", "Any", 0, None) for i in range(4)]
-    with pytest.raises(ValueError):
+    with pytest.raises(TooMany):
         partitions(Pattern("p", blocks), None)
+    own = Matcher(Pattern("p", [Block("a", "Up", 1, 400), Block("b", "Down", 1, 400), Block("c", "Up", 1, 400)]), (1, 1000))
+    assert len(own.windows("U" * 30 + "D" * 20 + "U" * 10)) == 30
+
+
+def test_bounds_of_windows():
+    one = lambda *size: Pattern("p", [Block("a", "Any", *size)])
+    assert [p.length for p in partitions(one(1, None), (600, 600))] == [600] and longest(one(1, None), (600, 600)) == 600
+    assert longest(one(1, None), None) == 500 and longest(one(1, 700), None) == 500 and longest(one(1, 700), (1, 650)) == 650
+    assert longest(one(1, None), (700, None)) == 700 and partitions(one(5, 5), (6, 6)) == []
 
 
 def test_needs():

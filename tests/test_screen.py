@@ -27,7 +27,7 @@ def series(spark, opens, closes, market=0, code=1):
 def verdicts(bars, stage, array=False, **more):
     screen = Screen(Pipeline([stage]), bars, D0, D0 + timedelta(days=400), **more)
     if array:
-        screen._fixed = lambda stage: None
+        screen._forms = lambda *stage: None
     return [r.passed for r in screen.scan(lookback=400).orderBy("market", "code", "date").collect()]
 
 
@@ -221,8 +221,7 @@ def test_one_exchange_and_filters_below_windows(spark, tmp_path):
     bars = spark.read.parquet(path)
     stage = Stage("s", indicators=[("sma", {"period": 5}), ("boll", {"period": 8, "k": 2.0})], conditions=[("a", ex("Gt", C, val(end(), "sma_5"))), ("b", ex("CrossUp", at=end(), col="close", threshold=val(each(), "boll_mid_8")))])
     screen = Screen(Pipeline([stage]), bars, D0, D0 + timedelta(days=30), pad=True)
-    own, plan = screen._fixed(stage)
-    text = screen._window_rows(stage, bars.select("market", "code").distinct(), False, own, plan)._jdf.queryExecution().executedPlan().toString()
+    text = screen.run()._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(market" in line]
     assert len(exchanges) <= 3  # the bars, and the universe's distinct keys
     assert "PushedFilters: [IsNotNull(date)" in text and "GreaterThanOrEqual(date" in text
