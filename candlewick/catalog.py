@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .functions.indicators import with_indicators, default_registry
 from .functions.scalars import round2
+from .operators.candles import with_run_lengths
 from .operators.resample import resample
-from .operators.results import counts, ranked, with_trace
+from .operators.results import chart_ranges, counts, minute_ranges, ranked, renamed, result_rows, with_trace
 from .operators.screen import KEY, Screen, symbol_of
 from .plans.ast import CURRENT, MARKET, Block, Node, Pattern, Pipeline, Registry, Stage, each, end, ex, fx, mx, named, point, start, tm, val
+from .plans.forms import collected, condition_from, counter_market, engulfing_stage, form_stage, group
 from .sources.bars import event_bars, event_index, event_minutes, on_boards, sampled
 
 FRM, TO = date(1990, 1, 1), date(2100, 1, 1)
@@ -110,7 +112,7 @@ ORACLE["q_count_each_before"] = ORACLE["q_count_each_before"].replace(f" FROM y
 for _dir, _op in (("StrictInc", "<"), ("StrictDec", ">"), ("NonDec", "<="), ("NonInc", ">=")):
     _of_each_bar(f"q_monotone_{_dir.lower()}", ex("Monotone", **rng(-2, 0), col="volume", dir=_dir), f"v2 {_op} v1 AND v1 {_op} volume", "*, lag(volume) OVER w AS v1, lag(volume, 2) OVER w AS v2")
 _of_each_bar("q_sync_with_market", ex("SyncWithMarket", end(-1), end()), "rn >= 2 AND ok", "*, row_number() OVER w AS rn, bool_and(coalesce((close > open) = (i_close > i_open), false)) OVER (w ROWS 1 PRECEDING) AS ok", with_index=True)
-_of_each_bar("q_counter_market", ex("Not", ex("SyncWithMarket", end(), end())), "(close > open) <> (i_close > i_open)", "*", with_index=True)
+_of_each_bar("q_counter_market", counter_market(), "coalesce(close > open, false) <> coalesce(i_close > i_open, false)", "*", with_index=True)
 _of_each_bar("q_market_path", ex("Gt", ex("Div", CLOSE, val(end(-1, MARKET), "close")), 1), "close / nullif(p, 0) > 1", "*, (SELECT max_by(j.close, j.date) FROM ib j WHERE j.market = y.market AND j.date < y.date) AS p", with_index=True)
 ORACLE["q_market_path"] = f"{_BARS}{_INDEX}, j AS (SELECT market, date, lag(close) OVER (PARTITION BY market ORDER BY date) AS p FROM ib) SELECT b.market, b.code, b.date, coalesce(b.close / CASE WHEN abs(p) >= 1e-12 THEN p END > 1, false) AS passed FROM b LEFT JOIN j USING (market, date)"
 _of_each_bar("q_rolling_sum_shift", ex("Gt", val(end(), "rs"), val(end(), "old")), "rn >= 3 AND rs > old", "*, row_number() OVER w AS rn, sum(volume) OVER (w ROWS 2 PRECEDING) AS rs, lag(close, 2) OVER w / 100 AS old", [("own", {"n": 3})], registry=Registry({"own": {"id": "own", "param_names": ["n"], "outputs": [("rs", fx("RollingSum", fx("Col", "volume"), fx("Param", "n"))), ("old", fx("Div", fx("Shift", fx("Col", "close"), 2), 100))]}}))
@@ -251,7 +253,7 @@ def q_universe_filter(spark, sf_dir):
     return on_boards(_bars(spark, sf_dir).select(*KEY).distinct(), markets=[0, 2], star=False)
 
 
-@_query("q_sampled_universe")
+@_query("q_sampled_universe", f"{_BARS} SELECT market, code FROM (SELECT DISTINCT market, code FROM b) ORDER BY md5(market || ':' || code), market, code LIMIT 10")
 def q_sampled_universe(spark, sf_dir):
     return sampled(_bars(spark, sf_dir).select(*KEY).distinct(), 10)
 
@@ -292,13 +294,226 @@ _intraday("q_intraday_cross_count", Node("test", "Gte", (mx("CrossCount", "White
 ORACLE["q_intraday_cross_count"] = ORACLE["q_intraday_cross_count"].replace(" FROM m GROUP BY ALL)", " FROM (SELECT *, lag(price > avg) OVER (PARTITION BY market, code, date ORDER BY minute) AS was FROM m) GROUP BY ALL)")
 _intraday("q_intraday_cross_above", Node("test", "Gte", (mx("CrossAbove", "White", mx("Lit", 50.0), *_WHOLE), mx("Lit", 1.0))), "bool_or(price >= 50 AND NOT was)")
 ORACLE["q_intraday_cross_above"] = ORACLE["q_intraday_cross_above"].replace(" FROM m GROUP BY ALL)", " FROM (SELECT *, lag(price >= 50) OVER (PARTITION BY market, code, date ORDER BY minute) AS was FROM m) GROUP BY ALL)")
-_intraday("q_intraday_slope", Node("test", "Gt", (mx("Slope", "White", *_WHOLE), mx("Lit", 0.0))), "arg_max(price, minute) > arg_min(price, minute)")
+_AS_OF = "coalesce(last(price ORDER BY minute) FILTER (minute <= {at}), first(price ORDER BY minute))"
+_ROW_AT = "greatest(count(*) FILTER (minute <= {at}), 1)"
+_PART = (tm("At", "10:31"), tm("At", "14:31"))  # slots 60 and 210
+_intraday("q_intraday_slope", Node("test", "Gt", (mx("Slope", "White", *_PART), mx("Lit", 5.0))), f"({_AS_OF} - {_AS_OF}) / greatest({_ROW_AT} - {_ROW_AT}, 1) > 5".format(at="{at}").replace("{at}", "210", 1).replace("{at}", "60", 1).replace("{at}", "210", 1).replace("{at}", "60", 1))
+_intraday("q_intraday_volume", Node("test", "Gt", (mx("Volume", tm("RangeEnd")), mx("Volume", tm("RangeStart")))), "last(volume ORDER BY minute) > coalesce(last(volume ORDER BY minute) FILTER (minute <= 0), first(volume ORDER BY minute))")
+_intraday("q_intraday_limit_down", mx("AnyMinute", Node("test", "Lte", (_P, mx("LimitDownPrice"))), *_WHOLE), "min(price) <= floor(arg_min(price, minute) * (1 - CASE WHEN market = 2 THEN 0.30::DOUBLE WHEN substr(lpad(code::VARCHAR, 6, '0'), 1, 3) IN ('688', '689', '300', '301') THEN 0.20::DOUBLE ELSE 0.10::DOUBLE END) * 100 + 0.5) / 100")
+ORACLE["q_intraday_limit_down"] = ORACLE["q_intraday_limit_down"].replace("FROM m GROUP BY ALL)", "FROM m GROUP BY market, code, date)")
+_intraday("q_intraday_before", mx("AllMinutes", Node("test", "Gte", (_P, mx("YesterdayOpen"))), *_WHOLE), "min(price) >= arg_min(price, minute)")
+_intraday("q_intraday_few", mx("DurationLte", Node("test", "Gte", (_P, mx("Lit", 50.0))), *_WHOLE, mx("Lit", 1.0)), "count(*) FILTER (price >= 50) <= 1")
+_intraday("q_intraday_count", Node("test", "Eq", (mx("Duration", _GT, *_WHOLE), mx("Lit", 1.0))), "count(*) FILTER (price > avg) = 1")
+_intraday("q_intraday_logic", Node("test", "And", (mx("AnyMinute", _GT, *_WHOLE), Node("test", "Not", (Node("test", "Or", (mx("AllMinutes", _GT, *_WHOLE), Node("test", "Gt", (mx("White", tm("RangeEnd")), mx("Lit", 80.0))))),)))), "bool_or(price > avg) AND NOT (bool_and(price > avg) OR arg_max(price, minute) > 80)")
+_intraday("q_intraday_values", Node("test", "Gt", (mx("Div", mx("Mul", mx("Abs", mx("Sub", mx("White", tm("RangeEnd")), mx("YesterdayOpen"))), mx("Lit", 100.0)), mx("Add", mx("YesterdayOpen"), mx("Lit", 1.0))), mx("Lit", 40.0))), "abs(arg_max(price, minute) - arg_min(price, minute)) * 100 / (arg_min(price, minute) + 1) > 40")
+_intraday("q_intraday_part_of_day", mx("AnyMinute", Node("test", "Gt", (_P, mx("Lit", 60.0))), *_PART), "bool_or(price > 60 AND minute BETWEEN lo AND hi)")
+ORACLE["q_intraday_part_of_day"] = ORACLE["q_intraday_part_of_day"].replace(" FROM m GROUP BY ALL)", " FROM (SELECT *, coalesce(min(minute) FILTER (minute >= 60) OVER d, max(minute) OVER d) AS lo, coalesce(max(minute) FILTER (minute <= 210) OVER d, min(minute) OVER d) AS hi FROM m WINDOW d AS (PARTITION BY market, code, date)) GROUP BY market, code, date)")
 _intraday("q_intraday_limit_touch", mx("AnyMinute", Node("test", "Gte", (_P, mx("LimitUpPrice"))), *_WHOLE), "max(price) >= floor(arg_min(price, minute) * (1 + CASE WHEN market = 2 THEN 0.30::DOUBLE WHEN substr(lpad(code::VARCHAR, 6, '0'), 1, 3) IN ('688', '689', '300', '301') THEN 0.20::DOUBLE ELSE 0.10::DOUBLE END) * 100 + 0.5) / 100")
 _intraday("q_intraday_streak", mx("AllMinutes", _GT, *_WHOLE), "max(run) >= 2", ("Gte", 2))
 ORACLE["q_intraday_limit_touch"] = ORACLE["q_intraday_limit_touch"].replace("FROM m GROUP BY ALL)", "FROM m GROUP BY market, code, date)")
 ORACLE["q_intraday_streak"] = ORACLE["q_intraday_streak"].replace(" FROM m GROUP BY ALL)", " FROM (SELECT market, code, date, count(*) FILTER (price > avg) AS run FROM (SELECT *, sum((NOT price > avg)::INT) OVER (PARTITION BY market, code, date ORDER BY minute) AS island FROM m) GROUP BY market, code, date, island) GROUP BY ALL)")
 
 
+_MODULES = {
+    "price_above_avg": "bool_and(price > avg)",
+    "price_below_avg": "bool_and(price < avg)",
+    "price_cross_avg": "bool_or(price > avg) AND bool_or(price < avg)",
+    "limit_up_touch": "max(price) >= up",
+    "limit_up_sealed": "min(price) >= up",
+}
+
+
+def _today(offset: int = 0) -> tuple[str, Node]:
+    return "today", Node("point", "Where", {"stock": CURRENT, "from": end(offset), "to": end(offset), "pred": ex("Bool", True), "select": "Last"})
+
+
+def _minute_test(module: str, stock: Node = CURRENT) -> Node:
+    return Node("expr", "Intraday", ({"anchor_point": "today", "stock": stock, "time_from": "09:31:00", "time_to": "15:00:00", "module_id": module, "params": {}},))
+
+
+_UP = "floor(first(price ORDER BY minute) * (1 + CASE WHEN market = 2 THEN 0.30::DOUBLE WHEN substr(lpad(code::VARCHAR, 6, '0'), 1, 3) IN ('688', '689', '300', '301') THEN 0.20::DOUBLE ELSE 0.10::DOUBLE END) * 100 + 0.5) / 100"
+_DAYS = f"{_MINUTES}, d0 AS (SELECT market, code, date, {_UP} AS up FROM m GROUP BY market, code, date)"
+
+
+@_query("q_minute_modules", f"{_BARS}{_DAYS}, d AS (SELECT m.market, m.code, m.date, {', '.join(f'{q} AS {n}' for n, q in _MODULES.items())} FROM m JOIN d0 USING (market, code, date) GROUP BY m.market, m.code, m.date, up) SELECT b.market, b.code, b.date, {', '.join(f'coalesce({n}, false) AS {n}' for n in _MODULES)} FROM b LEFT JOIN d USING (market, code, date)")
+def q_minute_modules(spark, sf_dir):
+    """The minute modules that come with the engine."""
+    found = None
+    for n in _MODULES:
+        stage = Stage("s", points=[_today()], conditions=[("c", _minute_test(n))])
+        one = _screen(spark, sf_dir, stage, minutes=event_minutes(_events(spark, sf_dir))).scan().select(*KEY, "date", F.col("passed").alias(n))
+        found = one if found is None else found.join(one, [*KEY, "date"])
+    return found
+
+
+@_query("q_cheap_then_minutes", f"{_BARS}{_MINUTES}, d AS (SELECT market, code, date, bool_or(price > avg) AS ok FROM m GROUP BY ALL) SELECT b.market, b.code, b.date, CASE WHEN NOT close > open THEN 'rises' WHEN NOT volume >= 2 THEN 'busy' WHEN NOT coalesce(ok, false) THEN 'above' END AS reason FROM b LEFT JOIN d USING (market, code, date)")
+def q_cheap_then_minutes(spark, sf_dir):
+    """A test of minutes between cheap ones: it comes last in time, and keeps its place among the reasons."""
+    registry = Registry({}, {"own": {"id": "own", "param_names": [], "expr": mx("AnyMinute", _GT, *_WHOLE)}})
+    stage = Stage("s", points=[_today()], conditions=[("rises", ex("Gt", CLOSE, OPEN)), ("busy", ex("Gte", VOLUME, 2)), ("above", _minute_test("own"))])
+    return _screen(spark, sf_dir, stage, registry=registry, minutes=event_minutes(_events(spark, sf_dir))).scan().select(*KEY, "date", F.col("eliminated_reason").alias("reason"))
+
+
+@_query("q_minutes_of_others", f"{_BARS}{_MINUTES}, d AS (SELECT market, code, date, bool_or(price > avg) AS ok FROM m GROUP BY ALL), i AS (SELECT market, date, ok FROM d WHERE (market, code) IN ((0, 3), (1, 4), (2, 5))), n AS (SELECT date, ok FROM d WHERE (market, code) = (1, 1)) SELECT b.market, b.code, b.date, coalesce(i.ok, false) AS index_passes, coalesce(n.ok, false) AS named_passes FROM b LEFT JOIN i USING (market, date) LEFT JOIN n USING (date)")
+def q_minutes_of_others(spark, sf_dir):
+    """Tests of the minutes of the market's index, and of a named series."""
+    registry = Registry({}, {"own": {"id": "own", "param_names": [], "expr": mx("AnyMinute", _GT, *_WHOLE)}})
+    minutes, found = event_minutes(_events(spark, sf_dir)), []
+    for stock in (MARKET, named("SH.000001")):
+        stage = Stage("s", points=[_today()], conditions=[("c", _minute_test("own", stock))])
+        found.append(Screen(Pipeline([stage]), _bars(spark, sf_dir), FRM, TO, registry=registry, index={0: (0, 3), 1: (1, 4), 2: (2, 5)}, minutes=minutes).scan())
+    first, second = found
+    return first.select(*KEY, "date", F.col("passed").alias("index_passes")).join(second.select(*KEY, "date", F.col("passed").alias("named_passes")), [*KEY, "date"])
+
+
+# Forms.
+
+
+def _form(name: str, groups: list[dict], condition: str, columns: str = "*", with_index: bool = False):
+    """A query of form groups with every bar as anchor."""
+    stage = form_stage(groups, default_registry())
+    _of_each_bar(name, stage.conditions[0][1] if len(stage.conditions) == 1 else _all_of(stage), condition, columns, stage.indicators, with_index)
+
+
+def _all_of(stage: Stage) -> Node:
+    return group("and", [e for _, e in stage.conditions])
+
+
+_m = lambda field="close", transform="raw", window=1: {"field": field, "transform": transform, "window": window}
+_form("q_form_compare", [{"logic": "or", "conditions": [{"type": "compare", "left": _m(), "op": "gt", "right": {"metric": _m("close", "sma", 5), "multiplier": 1.1}}, {"type": "compare", "left": _m("volume"), "op": "neq", "right": {"literal": 2}}]}], "coalesce(close > sma * 1.1, false) OR NOT abs(volume - 2) < 1e-9", _sma(5))
+_form("q_form_groups", [{"logic": "and", "conditions": [{"type": "candle", "candle": "Up"}, {"type": "compare", "left": _m("volume"), "op": "gte", "right": {"literal": 2}}]}, {"logic": "or", "conditions": [{"type": "gap", "direction": "up", "percent": 5}, {"type": "compare", "left": _m("low"), "op": "lt", "right": {"metric": _m("open")}}]}, {"logic": "and", "conditions": []}], "close > open AND volume >= 2 AND (coalesce((close - c1) / c1 * 100 > 5, false) OR low < open)", "*, lag(close) OVER w AS c1")
+_form("q_form_cross", [{"logic": "and", "conditions": [{"type": "cross", "direction": "up", "left": _m("close", "sma", 3), "right": _m("close", "sma", 8)}]}], "m3 <= m8 AND s3 > s8", "*, lag(s3) OVER w2 AS m3, lag(s8) OVER w2 AS m8 FROM (SELECT *, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) END AS s3, CASE WHEN count(*) OVER (w ROWS 7 PRECEDING) = 8 THEN avg(close) OVER (w ROWS 7 PRECEDING) END AS s8")
+ORACLE["q_form_cross"] = ORACLE["q_form_cross"].replace(f" FROM y {_W}) SELECT", f" FROM y {_W}) WINDOW w2 AS (PARTITION BY market, code ORDER BY date)) SELECT")
+for _d, _sql in (("up", "(close - c1) / c1 * 100 > 30"), ("down", "(close - c1) / c1 * 100 < -30")):
+    _form(f"q_gap_{_d}", [{"conditions": [{"type": "gap", "direction": _d, "percent": 30}]}], f"abs(c1) >= 1e-12 AND {_sql}", "*, lag(close) OVER w AS c1")
+
+
+_ENGULF = {"up": "c1 < o1 AND close > open AND open <= c1 AND close >= o1", "down": "c1 > o1 AND close < open AND close <= o1 AND open >= c1"}
+
+
+@_query("q_engulfing", f"{_BARS}, x AS (SELECT *, lag(close) OVER w AS c1, lag(open) OVER w AS o1 FROM b {_W}) SELECT market, code, date, coalesce({_ENGULF['up']}, false) AS up, coalesce({_ENGULF['down']}, false) AS down FROM x")
+def q_engulfing(spark, sf_dir):
+    """Upward as a pattern of two blocks with a condition, downward as one test."""
+    up = _screen(spark, sf_dir, engulfing_stage("up")).scan().select(*KEY, "date", F.col("passed").alias("up"))
+    down = _screen(spark, sf_dir, Stage("s", conditions=[("c", condition_from({"type": "engulfing", "direction": "down"}))])).scan().select(*KEY, "date", F.col("passed").alias("down"))
+    return up.join(down, [*KEY, "date"])
+
+
+_COLLECTED = collected(Stage("s", conditions=[("c", ex("And", ex("Gt", val(end(), "sma_3"), Node("expr", "Var", ("boll_lower_5",))), ex("And", ex("Lt", CLOSE, val(end(), "boll_upper_5")), ex("Gte", VOLUME, val(end(), "vol_ma_4")))))]), default_registry())
+_of_each_bar("q_collected_indicators", _COLLECTED.conditions[0][1], "s3 > sma - 2 * sd AND close < sma + 2 * sd AND volume >= v4", _sma(5) + ", stddev_samp(close) OVER (w ROWS 4 PRECEDING) AS sd, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) END AS s3, CASE WHEN count(*) OVER (w ROWS 3 PRECEDING) = 4 THEN avg(volume) OVER (w ROWS 3 PRECEDING) END AS v4", _COLLECTED.indicators)
+
+
+# Several stages, long windows, many ways.
+
+_FIVE = [
+    Stage("s1", conditions=[("rises", ex("Gt", CLOSE, OPEN))]),
+    Stage("s2", indicators=[("sma", {"period": 3})], conditions=[("above", ex("Gt", CLOSE, val(end(), "sma_3")))]),
+    Stage("s3", vars=[("before", C(-2))], conditions=[("higher", ex("Gt", CLOSE, Node("expr", "Var", ("before",))))]),
+    Stage("s4", windowsize=(2, 3), kline_pattern=Pattern("p", [Block("A", "Any", 1, 2), Block("B", "Up", 1, 1)])),
+    Stage("s5", conditions=[("market", ex("Gt", CLOSE, val(end(0, MARKET), "open"))), ("busy", ex("Gte", VOLUME, 2))]),
+]
+
+
+@_query(
+    "q_five_stages",
+    f"{_BARS}{_INDEX}, y AS (SELECT b.*, ib.open AS i_open FROM b LEFT JOIN ib USING (market, date)), x AS (SELECT *, row_number() OVER w AS rn, lag(close, 2) OVER w AS c2, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) END AS s3 FROM y {_W}), r AS (SELECT *, CASE WHEN NOT close > open THEN 's1:rises' WHEN NOT coalesce(close > s3, false) THEN 's2:above' WHEN c2 IS NULL THEN 's3:var:before' WHEN NOT close > c2 THEN 's3:higher' WHEN rn < 2 THEN 's4:kline_pattern' WHEN NOT coalesce(close > i_open, false) THEN 's5:market' WHEN NOT volume >= 2 THEN 's5:busy' END AS e FROM x) SELECT market, code, date, e IS NULL AS passed, split_part(e, ':', 1) AS eliminated_stage, substr(e, 4) AS eliminated_reason, CASE WHEN e IS NULL THEN 5 ELSE substr(e, 2, 1)::INT END AS stages FROM r",
+)
+def q_five_stages(spark, sf_dir):
+    return _screen(spark, sf_dir, *_FIVE).scan().withColumn("stages", F.size("stage_results")).drop("stage_results")
+
+
+_LONG_BARS = "WITH b AS (SELECT 0::INT AS market, l_linenumber::INT AS code, l_shipdate::DATE AS date, coalesce(sum(l_quantity) FILTER (l_orderkey % 2 = 0), 0) AS open, coalesce(sum(l_quantity) FILTER (l_orderkey % 2 = 1), 0) AS close, count(*)::DOUBLE AS volume FROM lineitem GROUP BY ALL)"
+
+
+def _long_bars(spark, sf_dir):
+    """Bars of some 2,500 days: a series for each line number; quantities of even orders open, those of odd ones close."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.lit(0).alias("market"), F.col("l_linenumber").cast("int").alias("code"), F.to_date("l_shipdate").alias("date"))
+    part = lambda k: F.coalesce(F.sum(F.when(F.col("l_orderkey") % 2 == k, F.col("l_quantity"))), F.lit(0.0))
+    rows = rows.agg(part(0).alias("open"), part(1).alias("close"), F.count("*").cast("double").alias("volume"))
+    return rows.select(*KEY, "date", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "volume", F.lit(0.0).alias("amount"))
+
+
+@_query("q_pattern_exact_600", f"{_LONG_BARS}, x AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS c1, lag(open) OVER w AS o1 FROM b {_W}) SELECT market, code, date, coalesce(rn >= 600 AND c1 > o1 AND close < open, false) AS passed FROM x")
+def q_pattern_exact_600(spark, sf_dir):
+    pattern = _blocks(("F", "Any", 598, 598), ("A", "Up", 1, 1), ("B", "Down", 1, 1))
+    return Screen(Pipeline([Stage("s", windowsize=(600, 600), kline_pattern=pattern)]), _long_bars(spark, sf_dir), FRM, TO).scan().select(*KEY, "date", "passed")
+
+
+@_query("q_scan_window_start", f"{_LONG_BARS}, x AS (SELECT *, first_value(close) OVER r AS c0, max(high) OVER r AS top FROM (SELECT *, greatest(open, close) AS high FROM b) WINDOW r AS (PARTITION BY market, code ORDER BY date RANGE BETWEEN INTERVAL 400 DAYS PRECEDING AND CURRENT ROW)) SELECT market, code, date, abs(c0) >= 1e-12 AND (close - c0) / nullif(c0, 0) * 100 > 0 AND high < top AS passed FROM x WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-01-20'")
+def q_scan_window_start(spark, sf_dir):
+    """A window that begins so many days before each anchor, however many bars that is."""
+    top = Node("expr", "Var", ("top",))
+    stage = Stage("s", vars=[("top", ex("Agg", from_=start(), to=end(), col="high", func="Max"))])
+    stage.conditions = [("gain", ex("Gt", ex("PctChange", val(start(), "close"), CLOSE), 0)), ("below", ex("Lt", val(end(), "high"), top))]
+    return Screen(Pipeline([stage]), _long_bars(spark, sf_dir), date(1995, 1, 1), date(1995, 1, 20)).scan(lookback=400).select(*KEY, "date", "passed")
+
+
+_AGGS = {"Min": "min(low)", "Mean": "avg(low)", "Sum": "sum(low)", "StdDev": "stddev_pop(low)", "First": "arg_min(low, date)", "Last": "arg_max(low, date)"}
+
+
+@_query("q_agg_dynamic", f"{_BARS}, g AS (SELECT market, code, arg_max(date, date) AS date, {', '.join(f'round({q}, 6) AS {n.lower()}' for n, q in _AGGS.items())} FROM b GROUP BY ALL) SELECT * FROM g")
+def q_agg_dynamic(spark, sf_dir):
+    """Every aggregate over a range that begins where the window does."""
+    stage = Stage("s", marks=[(n.lower(), end(), ex("Agg", from_=start(), to=end(), col="low", func=n), None) for n in _AGGS])
+    marks = F.get("stage_results", F.lit(0))["marks"]
+    return _screen(spark, sf_dir, stage).run().select(*KEY, "date", *[F.round(marks[n.lower()]["value"], 6).alias(n.lower()) for n in _AGGS])
+
+
+@_query(
+    "q_pattern_many_ways",
+    f"{_BARS}, x AS (SELECT *, row_number() OVER w AS rn, close > open AS u, close < open AS d FROM b {_W}), z AS (SELECT *, (rn - coalesce(max(CASE WHEN NOT u THEN rn END) OVER w, 0))::INT AS ru, (rn - coalesce(max(CASE WHEN NOT d THEN rn END) OVER w, 0))::INT AS rd FROM x {_W}), p AS (SELECT a.market, a.code, a.date, least(s.ru, 20, 40 - dn - fn) AS n FROM z a, range(1, 21) t(dn), range(0, 21) f(fn), z s WHERE a.rd >= dn AND s.market = a.market AND s.code = a.code AND s.rn = a.rn - dn - fn AND s.ru > 0 AND 40 - dn - fn > 0) SELECT b.market, b.code, b.date, coalesce(sum(n), 0) > 0 AS passed, coalesce(sum(n), 0)::INT AS windows FROM b LEFT JOIN p USING (market, code, date) GROUP BY ALL",
+)
+def q_pattern_many_ways(spark, sf_dir):
+    """A pattern of thousands of ways: they are searched in each window's candles."""
+    stage = Stage("s", windowsize=(1, 40), kline_pattern=_blocks(("A", "Up", 1, 20), ("F", "Any", 0, 20), ("B", "Down", 1, 20)))
+    out = _screen(spark, sf_dir, stage).scan()
+    return out.select(*KEY, "date", "passed", F.coalesce(F.size(F.get("stage_results", F.lit(0))["matches"]), F.lit(0)).alias("windows"))
+
+
+# Other tables.
+
+
+@_query("q_run_lengths", f"{_BARS}, x AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY market, code) AS n FROM b {_W}) SELECT market, code, date, (coalesce(min(CASE WHEN NOT close > open THEN rn END) OVER a, n + 1) - rn)::INT AS run_up, (coalesce(min(CASE WHEN NOT close < open THEN rn END) OVER a, n + 1) - rn)::INT AS run_down, (coalesce(min(CASE WHEN close <> open THEN rn END) OVER a, n + 1) - rn)::INT AS run_neutral, (n - rn)::INT AS bars_left FROM x WINDOW a AS (PARTITION BY market, code ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+def q_run_lengths(spark, sf_dir):
+    return with_run_lengths(_bars(spark, sf_dir)).select(*KEY, "date", "run_up", "run_down", "run_neutral", "bars_left")
+
+
+@_query("q_ema", f"{_BARS}, x AS (SELECT *, list(close) OVER (PARTITION BY market, code ORDER BY date) AS h FROM b) SELECT market, code, date, CASE WHEN len(h) >= 5 THEN round(list_reduce(h, lambda m, x: m + (x - m) / 3), 6) END AS ema_5 FROM x")
+def q_ema(spark, sf_dir):
+    return with_indicators(_bars(spark, sf_dir), [("ema", {"period": 5})], default_registry()).select(*KEY, "date", F.round("ema_5", 6).alias("ema_5"))
+
+
+@_query("q_chart_ranges", f"{_BARS} SELECT market, code, min(low) AS min_price, max(high) AS max_price, min(volume) AS min_volume, max(volume) AS max_volume, count(*) AS bars FROM b GROUP BY ALL")
+def q_chart_ranges(spark, sf_dir):
+    return chart_ranges(_bars(spark, sf_dir))
+
+
+@_query("q_minute_ranges", f"{_BARS}{_MINUTES}, d AS (SELECT market, code, date, arg_min(price, minute) AS p, least(min(price), min(avg)) AS lo, greatest(max(price), max(avg)) AS hi FROM m GROUP BY ALL), e AS (SELECT *, CASE WHEN greatest(hi - p, p - lo) = 0 THEN greatest(0.01, p * 0.002) ELSE greatest(hi - p, p - lo) END AS w FROM d) SELECT market, code, date, round(CASE WHEN p > 0 THEN p - w WHEN lo = hi THEN lo - 1 ELSE lo END, 6) AS min_price, round(CASE WHEN p > 0 THEN p + w WHEN lo = hi THEN hi + 1 ELSE hi END, 6) AS max_price FROM e")
+def q_minute_ranges(spark, sf_dir):
+    return minute_ranges(event_minutes(_events(spark, sf_dir))).withColumns({c: F.round(c, 6) for c in ("min_price", "max_price")})
+
+
+@_query("q_result_table", f"{_TWO_SQL} SELECT market, code, printf('%s.%06d', CASE market WHEN 0 THEN 'SZ' WHEN 1 THEN 'SH' ELSE 'BJ' END, code) AS symbol, reason IS NULL AS ok, reason AS eliminated_reason, CASE WHEN reason IN ('up', 'busy') THEN 'first' WHEN reason = 'above' THEN 'second' END AS eliminated_stage, strftime(date, '%Y-%m-%d') AS day FROM t")
+def q_result_table(spark, sf_dir):
+    """The flat result table, with headers of the caller's."""
+    out = renamed(result_rows(_screen(spark, sf_dir, *_TWO).run()), {"passed": "ok", "date": "day"})
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd")).drop("stage_trace")
+
+
+@_query("q_extra_stocks", f"{_BARS} SELECT market, code, date, close, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN round(avg(close) OVER (w ROWS 2 PRECEDING), 6) END AS sma_3 FROM b WHERE (market, code) IN ((0, 3), (1, 4)) {_W}")
+def q_extra_stocks(spark, sf_dir):
+    """The prepared bars of the series that a stage lists."""
+    stage = Stage("s", indicators=[("sma", {"period": 3})], extra_stocks=["SZ.000003", "SH.000004", "nothing"])
+    return _screen(spark, sf_dir, stage).extra(stage).select(*KEY, "date", "close", F.round("sma_3", 6).alias("sma_3"))
+
+
+@_query("q_market_of_named", f"{_BARS}{_INDEX} SELECT b.market, b.code, b.date, coalesce(b.close > i.close, false) AS passed FROM b LEFT JOIN (SELECT date, close FROM ib WHERE market = 1) i USING (date)")
+def q_market_of_named(spark, sf_dir):
+    """The index of a named series' market."""
+    path = end(0, Node("stock", "MarketNamed", ("SH.000004",)))
+    return _screen(spark, sf_dir, Stage("s", conditions=[("c", ex("Gt", CLOSE, val(path, "close")))])).scan().select(*KEY, "date", "passed")
+
+
 @_query("q_limit_prices", f"{_BARS} SELECT market, code, date, floor(close * 1.1 * 100 + 0.5) / 100 AS up FROM b WHERE close > 0")
 def q_limit_prices(spark, sf_dir):
     return _bars(spark, sf_dir).where("close > 0").select(*KEY, "date", round2(F.col("close") * 1.1).alias("up"))

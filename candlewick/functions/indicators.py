@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ast import Node, Registry, fx, mx, tm
-from ..plans.needs import period_of
+from ..plans.needs import ewma_bars, period_of
 from .scalars import clean, divide
 
 KEY = ("market", "code")
@@ -38,6 +38,13 @@ def formula_column(f: Node, params: dict) -> Column:
         frame = series().rowsBetween(1 - n, 0)
         src = own(f["src"])
         return F.when(F.count(src).over(frame) == n, _ROLLING[f.kind](src).over(frame))
+    if f.kind == "Ewma":
+        # By the recursion from the oldest bar that still counts: m + 2 / (n + 1) * (x - m), null until the period is full.
+        n = period_of(f["period"], params)
+        if n < 1:
+            raise ValueError("a period is 1 or more")
+        held = F.collect_list(own(f["src"])).over(series().rowsBetween(1 - max(n, ewma_bars(n)), 0))
+        return F.when(F.size(held) >= n, F.aggregate(F.slice(held, 2, F.size(held)), F.get(held, F.lit(0)), lambda m, x: m + F.lit(2.0 / (n + 1)) * (x - m)))
     if f.kind == "Shift":
         n = period_of(f["periods"], params)
         return F.lag(own(f["src"]), n).over(series()) if n >= 0 else F.lead(own(f["src"]), -n).over(series())
@@ -65,13 +72,14 @@ def with_indicators(bars: DataFrame, calls: list[tuple[str, dict]], registry: Re
 
 
 def default_registry() -> Registry:
-    """Moving averages, Bollinger bands, highs and lows; and the minute modules."""
+    """Simple and exponential moving averages, Bollinger bands, highs and lows; and the minute modules."""
     period, k, close = fx("Param", "period"), fx("Param", "k"), fx("Col", "close")
     mean, spread = fx("RollingMean", close, period), fx("Mul", fx("RollingStd", close, period), k)
     high, low = fx("RollingMax", fx("Col", "high"), period), fx("RollingMin", fx("Col", "low"), period)
     modules = {
         "sma": (["period"], [("sma_{period}", mean)]),
         "boll": (["period", "k"], [("boll_mid_{period}", mean), ("boll_upper_{period}", fx("Add", mean, spread)), ("boll_lower_{period}", fx("Sub", mean, spread))]),
+        "ema": (["period"], [("ema_{period}", fx("Ewma", close, period))]),
         "vol_ma": (["period"], [("vol_ma_{period}", fx("RollingMean", fx("Col", "volume"), period))]),
         "high_n": (["period"], [("high_{period}", high), ("high_n_{period}", high)]),
         "low_n": (["period"], [("low_{period}", low), ("low_n_{period}", low)]),

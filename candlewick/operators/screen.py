@@ -458,12 +458,13 @@ class Screen:
         ship(self.bars.sparkSession)
         kind = "array<struct<len:int,first:array<int>,last:array<int>>>"
 
-        def search(codes: pd.Series) -> pd.Series:
+        def search(codes):
             own, known = Matcher(pattern, windowsize), {}
             for c in codes.dropna().unique():
                 known[c] = [{"len": n, **_places(b, blocks)} for n, b in own.windows(c)]
             return codes.map(lambda c: known.get(c, []))
 
+        search.__annotations__ = {"codes": pd.Series, "return": pd.Series}
         return F.pandas_udf(search, kind)(F.col("__codes"))
 
     def _point(self, own: BarArrays, d: Node, blocks: list[str]):
@@ -565,6 +566,12 @@ class Screen:
         failed = ~F.col("passed")
         return state.select(*KEY, "date", "passed", F.when(failed, last["stage_name"]).alias("eliminated_stage"), F.when(failed, last["failed_condition"]).alias("eliminated_reason"), F.col("results").alias("stage_results"))
 
+    def extra(self, stage: Stage) -> DataFrame:
+        """The bars, with indicators, of the series that a stage lists by symbol; unknown symbols have none."""
+        keys = [symbol_key(s) for s in stage.extra_stocks]
+        wanted = [F.struct(F.lit(m).cast("int"), F.lit(c).cast("int")) for m, c in filter(None, keys)]
+        return self._prepared(self.bars.where(F.struct(*KEY).isin(wanted) if wanted else F.lit(False)), [stage])
+
     def survivors(self) -> DataFrame:
         """The series that pass."""
         return self.run().where("passed").select(*KEY)

@@ -25,7 +25,7 @@ EXPRESSIONS = {
 }
 FORMULAS = {
     "Col": 1, "Lit": 1, "Param": 1, "RollingMean": ("src", "period"), "RollingStd": ("src", "period"), "RollingMax": ("src", "period"),
-    "RollingMin": ("src", "period"), "RollingSum": ("src", "period"), "Shift": ("src", "periods"), "Add": 2, "Sub": 2, "Mul": 2, "Div": 2,
+    "RollingMin": ("src", "period"), "RollingSum": ("src", "period"), "Ewma": ("src", "period"), "Shift": ("src", "periods"), "Add": 2, "Sub": 2, "Mul": 2, "Div": 2,
     "Abs": 1, "Neg": 1, "Sqrt": 1, "IfElse": ("cond", "then_val", "else_val"),
 }
 MINUTE_VALUES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, timedelta
 
 from .ast import Node, Path, Registry, Stage
@@ -43,6 +44,7 @@ def stocks(stage: Stage) -> set[Node]:
 
 
 def needs_market(stage: Stage) -> bool:
+    """Whether a stage reads its market's index, in daily bars or minutes."""
     minute = any(isinstance(x, Node) and x.kind in ("Intraday",) and x.args[0]["stock"].kind.startswith("Market") for x in stage_nodes(stage))
     return minute or any(s.kind.startswith("Market") for s in stocks(stage))
 
@@ -53,11 +55,19 @@ def formula_lookback(f: Node, params: dict) -> int:
     deep = max((formula_lookback(a, params) for a in own if isinstance(a, Node)), default=0)
     if f.kind.startswith("Rolling"):
         return formula_lookback(f["src"], params) + period_of(f["period"], params) - 1
+    if f.kind == "Ewma":
+        return formula_lookback(f["src"], params) + ewma_bars(period_of(f["period"], params)) - 1
     if f.kind == "Shift":
         return formula_lookback(f["src"], params) + max(0, period_of(f["periods"], params))
     return deep
 
 
+def ewma_bars(period: int) -> int:
+    """Bars after which an exponential mean's older values weigh less than a double's last bit."""
+    share = 2 / (period + 1)
+    return 1 if period <= 1 else math.ceil(-41.5 / math.log1p(-share))
+
+
 def period_of(f: Node, params: dict) -> int:
     """A period: a literal or a parameter, nothing else."""
     if f.kind == "Lit":

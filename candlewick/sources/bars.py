@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from abc import ABC, abstractmethod
+from contextlib import contextmanager
 from datetime import date
 from pathlib import Path
 
@@ -26,7 +28,58 @@ def as_bars(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("market").cast("int"), F.col("code").cast("int"), day.alias("date"), *scaled, F.col("volume").cast("double"), (F.col("amount") / SCALE).alias("amount"))
 
 
-class ParquetBars:
+class BarSource(ABC):
+    """Where bars and minutes come from. Answers are tables of all series asked for; nothing is read before they are."""
+
+    @abstractmethod
+    def bars(self, frm: date, to: date, universe: DataFrame | None = None) -> DataFrame:
+        """Daily bars of the dates, of the (market, code) rows of a universe."""
+
+    @abstractmethod
+    def minutes(self, frm: date, to: date, keys: DataFrame | None = None) -> DataFrame:
+        """Minutes of the dates, of the (market, code, date) rows of keys: below all else, so that only survivors' rows go on."""
+
+    def timeframe(self, timeframe, frm: date, to: date, universe: DataFrame | None = None) -> DataFrame:
+        """Bars of a timeframe, from the daily ones."""
+        from ..operators.resample import resample
+
+        return resample(self.bars(frm, to, universe), timeframe)
+
+    def series(self, market: int, code: int, frm: date, to: date) -> DataFrame:
+        """One series' daily bars, such as an index."""
+        return self.bars(frm, to).where((F.col("market") == market) & (F.col("code") == code))
+
+
+def _of(rows: DataFrame, keys: DataFrame | None, by: list[str]) -> DataFrame:
+    return rows if keys is None else rows.join(keys.select(*by).distinct(), by, "left_semi")
+
+
+class TableBars(BarSource):
+    """Bars and minutes that are tables already."""
+
+    def __init__(self, bars: DataFrame, minutes: DataFrame | None = None):
+        self._bars, self._minutes = bars, minutes
+
+    def bars(self, frm: date, to: date, universe: DataFrame | None = None) -> DataFrame:
+        return _of(self._bars.where(F.col("date").between(F.lit(frm), F.lit(to))), universe, ["market", "code"])
+
+    def minutes(self, frm: date, to: date, keys: DataFrame | None = None) -> DataFrame:
+        if self._minutes is None:
+            return self._bars.sparkSession.createDataFrame([], MINUTES)
+        return _of(self._minutes.where(F.col("date").between(F.lit(frm), F.lit(to))), keys, ["market", "code", "date"])
+
+
+@contextmanager
+def kept(rows: DataFrame):
+    """rows held for as long as a block lasts, such as the survivors' minutes for a stage that reads them several times."""
+    rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+class ParquetBars(BarSource):
     """klines/YYYY.parquet and minutes/YYYY/MM.parquet below a folder. Files outside the dates asked for are not opened."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -50,15 +103,13 @@ class ParquetBars:
         days = dict(raw.dtypes)["date"] in ("int", "bigint", "smallint")
         lo, hi = (((d - date(1970, 1, 1)).days for d in (frm, to)) if days else (F.lit(frm), F.lit(to)))
         raw = raw.where(F.col("date").between(lo, hi))
-        if universe is not None:
-            raw = raw.join(universe.select("market", "code").distinct(), ["market", "code"], "left_semi")
-        return as_bars(raw)
+        return as_bars(_of(raw, universe, ["market", "code"]))
 
-    def minutes(self, frm: date, to: date) -> DataFrame:
+    def minutes(self, frm: date, to: date, keys: DataFrame | None = None) -> DataFrame:
         months = [p for p in self._paths("minutes/*/*.parquet") if (frm.year, frm.month) <= (int(Path(p).parent.name), int(Path(p).stem)) <= (to.year, to.month)]
         if not months:
             return self.spark.createDataFrame([], MINUTES)
-        raw = self.spark.read.parquet(*months).where(F.col("date").between(F.lit(frm), F.lit(to)))
+        raw = _of(self.spark.read.parquet(*months).where(F.col("date").between(F.lit(frm), F.lit(to))), keys, ["market", "code", "date"])
         return raw.select(F.col("market").cast("int"), F.col("code").cast("int"), F.col("date").cast("date"), F.col("minute").cast("int"), (F.col("price") / SCALE).alias("price"), (F.col("avg") / SCALE).alias("avg"), F.col("volume").cast("double"))
 
 
@@ -77,18 +128,37 @@ def on_boards(universe: DataFrame, markets=None, star: bool = True, growth: bool
 
 
 def sampled(universe: DataFrame, n: int) -> DataFrame:
-    """The same n series each time, by hash."""
-    return universe.orderBy(F.xxhash64("market", "code"), "market", "code").limit(n)
+    """The same n series each time, by hash of their keys."""
+    return universe.orderBy(F.md5(F.concat_ws(":", F.col("market").cast("string"), F.col("code").cast("string"))), "market", "code").limit(n)
 
 
-def save_strategy(path: str, name: str, pipeline_json: str) -> None:
-    own = Path(path)
-    kept = json.loads(own.read_text()) if own.exists() else {}
-    own.write_text(json.dumps(kept | {name: json.loads(pipeline_json)}))
+class StrategyStore:
+    """Pipelines by name, as JSON files in a folder of any file system that Spark reaches."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-def load_strategy(path: str, name: str) -> str:
-    return json.dumps(json.loads(Path(path).read_text())[name])
+    def _at(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.json")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def save(self, name: str, pipeline_json: str) -> None:
+        """Writes a pipeline, in place of one of the same name."""
+        where, system = self._at(name)
+        out = system.create(where, True)
+        out.write(bytearray(json.dumps(json.loads(pipeline_json), ensure_ascii=False).encode()))
+        out.close()
+
+    def load(self, name: str) -> str:
+        where, system = self._at(name)
+        if not system.exists(where):
+            raise KeyError(name)
+        return self.spark.read.option("wholetext", True).text(f"{self.folder}/{name}.json").first()[0]
+
+    def names(self) -> list[str]:
+        where, system = self._at("*")
+        found = system.globStatus(where)
+        return sorted(Path(x.getPath().toString()).stem for x in found) if found else []
 
 
 def event_bars(events: DataFrame) -> DataFrame:
