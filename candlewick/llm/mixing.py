@@ -20,11 +20,11 @@ from math import ceil, gcd, lcm
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow, partitions, stage
+from .common import BROADCAST_ROWS, arrow, plainly_named, stage, tasks
 
 PERIOD = 1_000
 BLOCK = 64
-#: Rows of a source that one group ranks, at most about so many.
+#: Rows that one group ranks, at most about so many.
 BUCKET_ROWS = 50_000
 #: Blocks of a source in one row of the plan, and the blocks up to which a plan (24 bytes each) is broadcast.
 CHUNK = 1_024
@@ -107,8 +107,8 @@ def plan(blocks: dict[str, int], weights: dict[str, float], period: int | None =
         left = {s: n for s, n in left.items() if n}
 
 
-def _plan(spark, blocks: dict[str, int], weights: dict[str, float], period: int | None) -> DataFrame:
-    """(__s, __chunk, __slots, __releases, __dues): the plan in arrays of CHUNK blocks of a source, made by one task."""
+def _plan(counts: DataFrame, weights: dict[str, float] | None, block: int, period: int | None) -> DataFrame:
+    """(__s, __chunk, __slots, __releases, __dues): the plan in arrays of CHUNK blocks of a source, made by one task from the sources' counts."""
     import pyarrow as pa
 
     names = ["__s", "__chunk", "__slots", "__releases", "__dues"]
@@ -118,12 +118,12 @@ def _plan(spark, blocks: dict[str, int], weights: dict[str, float], period: int
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches):
-        for _ in batches:
-            pass
+        held = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        own = default_weights(held) if weights is None else {s: weights[s] for s in held}
         open_, full = {}, []
-        for s, i, *own in plan(blocks, weights, period):
+        for s, i, *place in plan({s: -(-n // block) for s, n in held.items()}, own, period):
             row = open_.setdefault(s, (s, i // CHUNK, [], [], []))
-            for to, x in zip(row[2:], own, strict=True):
+            for to, x in zip(row[2:], place, strict=True):
                 to.append(x)
             if len(row[2]) == CHUNK:
                 full.append(open_.pop(s))
@@ -134,7 +134,7 @@ def _plan(spark, blocks: dict[str, int], weights: dict[str, float], period: int
         for k in range(0, len(rows), 1_000):
             yield batch(rows[k : k + 1_000])
 
-    return stage(spark.range(0, 1, 1, 1).transform(arrow, run, "__s string, __chunk long, __slots array<long>, __releases array<long>, __dues array<long>"), "plan")
+    return stage(counts.select("__s", "n").coalesce(1).transform(arrow, run, "__s string, __chunk long, __slots array<long>, __releases array<long>, __dues array<long>"), "plan")
 
 
 def default_weights(counts: dict[str, int], power: float = 0.7) -> dict[str, float]:
@@ -142,65 +142,68 @@ def default_weights(counts: dict[str, int], power: float = 0.7) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """(id, source, block, slot, release, deadline[, carried columns]) for each row of docs; slots are those of one long schedule.
-
-    block: rows of a block, in an order by hash of the id (ties by id and text of all carried columns); a
-    source's last block may hold fewer. weights: target weights by source, by default by size to the power
-    0.7; each source of docs must have one. period: round the weights to whole shares of so many slots; by
-    default they are taken as they are. A null source is a source of its own, named "". Nothing is
-    dropped and nothing repeated: when a source ends, the others go on in their proportions. Rows that
-    repeat are rows of their own. An empty table gives an empty result. Extra columns may have any names.
-
-    Ranks within a source come from counts of hash buckets of bounded size plus ranks within a bucket, so a
-    source that holds a third of all rows is dealt out over many tasks. The plan is broadcast up to PLAN_BLOCKS
-    blocks; beyond it rows are shuffled once more, by source and chunk.
-    """
-    spark = docs.sparkSession
-    carry = [c for c in (carry or []) if c not in (id_col, source_col)]
-    own = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__s"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    counts = {r["__s"]: r["count"] for r in own.groupBy("__s").count().limit(BROADCAST_ROWS).collect()}
-    if len(counts) >= BROADCAST_ROWS:
-        raise ValueError("too many sources for one plan")
-    wanted = dict(weights) if weights is not None else default_weights(counts)
-    if missing := sorted(set(counts) - set(wanted)):
-        raise ValueError(f"no weight for {missing[:5]}")
-    buckets = max(1, -(-max(counts.values(), default=1) // BUCKET_ROWS))
-    key = F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(17))
-    own = own.withColumn("__h", key).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int | None, id_col: str, source_col: str, carry: list[str]) -> DataFrame:
+    """(__id, __source, __block, __slot, __release, __due, __u, __h, __k0, __k1, ...) for each row of docs; __k: the carried columns."""
+    rows, names = plainly_named(docs)
+    at = dict(zip(docs.columns, names, strict=True))
+    kinds = dict(rows.dtypes)
+    id_, source = F.col(at[id_col]), F.col(at[source_col])
+    own = rows.select(id_.alias("__id"), source.alias("__source"), F.coalesce(source.cast("string"), F.lit("")).alias("__s"), *[F.col(at[c]).alias(f"__k{i}") for i, c in enumerate(carry)])
+    own = own.withColumn("__h", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(17))).withColumn("__u", F.shiftrightunsigned("__h", 32))
+    counts = stage(own.groupBy("__s").agg(F.count("*").alias("n")), "counts")
+    if weights is not None:
+        missing = [r["__s"] for r in counts.toLocalIterator() if r["__s"] not in weights]
+        if missing:
+            raise ValueError(f"no weight for {sorted(missing)[:5]}")
+    total, sources, blocks = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.ceil(F.col("n") / block)), F.lit(0))).first()
+    parts = tasks(docs)
+    # Each source is cut into as many ranges of hashes as its rows ask for: ranges are ranked by themselves, in even tasks.
+    each = min(BUCKET_ROWS, max(256, -(-total // (4 * parts))))
+    few = sources + total // each <= BROADCAST_ROWS
+    cut = counts.select("__s", F.ceil(F.col("n") / each).alias("__cuts"))
+    own = own.join(F.broadcast(cut) if few else cut, "__s").withColumn("__b", F.shiftright(F.col("__u") * F.col("__cuts"), 32)).drop("__cuts")
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("__s", "__b").agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    order = Window.partitionBy("__s", "__b").orderBy("__h", "__id", *[f"__c{i}" for i in range(len(carry))])
+    starts = own.groupBy("__s", "__b").agg(F.count("*").alias("m")).withColumn("__start", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    plain = [F.col(f"__k{i}") for i, c in enumerate(carry) if "map<" not in kinds[at[c]] and "variant" not in kinds[at[c]]]
+    order = Window.partitionBy("__s", "__b").orderBy("__u", "__h", "__id", *([F.xxhash64(*plain)] if plain else []))
     ranked = own.withColumn("__r", F.row_number().over(order) - 1)
-    starts_few = len(counts) * buckets <= BROADCAST_ROWS
-    ranked = ranked.join(F.broadcast(starts) if starts_few else starts, ["__s", "__b"]).withColumn("__block", F.floor((F.col("__start") + F.col("__r")) / block))
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    table = _plan(spark, blocks, {s: wanted[s] for s in counts}, period)
-    ranked = ranked.withColumn("__chunk", F.floor(F.col("__block") / CHUNK).cast("long"))
-    found = ranked.join(F.broadcast(table) if sum(blocks.values()) <= PLAN_BLOCKS else table, ["__s", "__chunk"])
+    ranked = ranked.join(F.broadcast(starts) if few else starts, ["__s", "__b"]).withColumn("__block", F.floor((F.col("__start") + F.col("__r")) / block))
+    ranked = ranked.withColumn("__chunk", F.floor(F.col("__block") / CHUNK).cast("long")).drop("__b", "__start", "__r")
+    table = _plan(counts, weights, block, period)
+    found = ranked.join(F.broadcast(table) if blocks <= PLAN_BLOCKS else table, ["__s", "__chunk"])
     place = F.pmod(F.col("__block"), F.lit(CHUNK)).cast("int")
-    return found.select(
-        F.col("__id").alias(id_col),
-        F.col("__source").alias(source_col),
-        F.col("__block").cast("long").alias("block"),
-        F.get("__slots", place).alias("slot"),
-        F.get("__releases", place).alias("release"),
-        F.get("__dues", place).alias("deadline"),
-        *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)],
-    )
+    return found.withColumns({"__slot": F.get("__slots", place), "__release": F.get("__releases", place), "__due": F.get("__dues", place)}).drop("__slots", "__releases", "__dues", "__chunk", "__s")
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(id, source, block, slot, release, deadline) for each row of docs; slots are those of one long schedule.
+
+    block: rows of a block, in an order by hash of the id (ties by id); a source's last block may hold fewer.
+    weights: target weights by source, by default by size to the power 0.7; each source of docs must have one.
+    period: round the weights to whole shares of so many slots; by default they are taken as they are. A null
+    source is a source of its own, named "". Nothing is dropped and nothing repeated: when a source ends, the
+    others go on in their proportions. Rows that repeat are rows of their own. An empty table gives an empty
+    result. Extra columns may have any names and types and are not read.
+
+    Ranks within a source come from counts of ranges of hashes plus ranks within a range, so a source that holds a
+    third of all rows is dealt out evenly. The plan is made by one task, which holds the sources' counts and
+    heaps (some 500 bytes a source) and gives blocks one by one; a source that ends costs a pass over those left.
+    It is broadcast up to PLAN_BLOCKS blocks; beyond it rows are shuffled once more, by source and chunk.
+    """
+    found = _scheduled(docs, weights, block, period, id_col, source_col, [])
+    return found.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("__block").cast("long").alias("block"), F.col("__slot").alias("slot"), F.col("__release").alias("release"), F.col("__due").alias("deadline"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs in the order of the schedule: partitions, and rows within them, ascend by slot, so files written from it are in mixed order.
 
-    All rows and columns of docs stay; in every prefix that no source has run out before, each source's
-    blocks are within one of its target share.
+    All rows and columns of docs stay, whatever the columns' names and types; in every prefix that no source has
+    run out before, each source's blocks are within one of its target share. Null sources, repeated rows and
+    empty tables are as in schedule(). Rows are shuffled twice: to be ranked, and into the schedule's order.
     """
     columns = docs.columns
     others = [c for c in columns if c not in (id_col, source_col)]
-    names = {c: f"__o{i}" for i, c in enumerate(others)}
-    renamed = docs.select(F.col(id_col).alias("__key"), F.col(source_col).alias("__src"), *[F.col(c).alias(names[c]) for c in others])
-    placed = schedule(renamed, weights, block, period, "__key", "__src", list(names.values()))
-    n = partitions(docs.sparkSession)
-    ordered = placed.repartitionByRange(n, "slot", "__key").sortWithinPartitions("slot", F.xxhash64(F.coalesce(F.col("__key").cast("string"), F.lit("")), F.lit(17)), "__key")
-    return ordered.select(*[F.col("__key").alias(c) if c == id_col else F.col("__src").alias(c) if c == source_col else F.col(names[c]).alias(c) for c in columns])
+    placed = _scheduled(docs, weights, block, period, id_col, source_col, others).drop("__block", "__release", "__due")
+    ordered = placed.repartitionByRange(tasks(docs), "__slot", "__u", "__h").sortWithinPartitions("__slot", "__u", "__h", "__id")
+    own = {id_col: "__id", source_col: "__source"} | {c: f"__k{i}" for i, c in enumerate(others)}
+    return ordered.select(*[F.col(own[c]).alias(c) for c in columns])
