@@ -15,14 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, partitions, ship, stage
+from .common import BROADCAST_ROWS, arrow, ship, stage
 from .graph import components
 from .topk import usable
 
 #: Vectors that codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 8_000
-#: Codes of a half, at most.
-CODES = 256
+#: Codes of a half, at most; and cells that a vector visits, at most.
+CODES = 1_024
+MOST_CELLS = 512
 #: Vectors of a cell that one task holds, at most.
 CELL = 2_048
 
@@ -61,19 +62,33 @@ def visits(v: np.ndarray, one: np.ndarray, two: np.ndarray, cells: int) -> np.nd
     return np.take_along_axis(number, best, axis=1)
 
 
-def settle_visits(sample: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float, recall: float, seed: int = 2, pairs: int = 4_000) -> int:
-    """The least number of cells by which a pair at just the threshold is met, from either side, with the target recall."""
+def settle_visits(sample: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float, recall: float, seed: int = 2, pairs: int = 4_000) -> int | None:
+    """The least number of cells by which a pair at just the threshold is met, from either side, with the target recall; none if MOST_CELLS don't reach it."""
     rng = np.random.default_rng(seed)
     x = sample[rng.integers(0, len(sample), pairs)]
     away = rng.standard_normal(x.shape)
     away -= (away * x).sum(1)[:, None] * x
     away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
     y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * away
-    most = min(512, len(one) * len(two))
-    a, b = visits(x, one, two, most), visits(y, one, two, most)
-    at = [np.where((m := s == c[:, :1]).any(1), m.argmax(1), most) for s, c in ((a, b), (b, a))]
-    met = np.sort(np.minimum(*at))
-    return int(min(most, met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)] + 1))
+    most, met = min(MOST_CELLS, len(one) * len(two)), []
+    for k in range(0, pairs, 250):
+        a, b = visits(x[k : k + 250], one, two, most), visits(y[k : k + 250], one, two, most)
+        at = [np.where((m := s == c[:, :1]).any(1), m.argmax(1), most) for s, c in ((a, b), (b, a))]
+        met.append(np.minimum(*at))
+    least = int(np.sort(np.concatenate(met))[min(pairs, int(np.ceil(recall * pairs))) - 1]) + 1
+    return least if least <= most else None
+
+
+def fit_index(sample: np.ndarray, codes: int, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two codebooks and the number of cells to visit. Where that many cells don't reach the recall, codebooks of half as many codes are taken, down to one cell of everything."""
+    half = max(1, sample.shape[1] // 2)
+    while True:
+        one = fit_codebook(sample[:, :half], codes)
+        two = fit_codebook(sample[:, half:], codes) if sample.shape[1] > 1 else np.zeros((1, 0))
+        n = settle_visits(sample, one, two, threshold, recall)
+        if n is not None:
+            return one, two, n
+        codes = max(1, codes // 2)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -85,63 +100,64 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
 
-    Rows link when the cosine of their vectors, in double precision, is the threshold or more. Pairs are met
-    with about the target recall or better, and none below the threshold links. n_links counts the other rows
-    linked directly; component_id is the smallest id reachable, the row's own included; kept says that it
-    is the row's own. Vectors that are null, empty, zero, or hold null or non-finite components link with
+    Rows link when the cosine of their vectors, in double precision, is the threshold or more; that of equal vectors
+    is 1. Pairs are met with about the target recall or better, and none below the threshold links. n_links counts
+    the other rows linked directly; component_id is the smallest id reachable, the row's own included; kept says
+    that it is the row's own. Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, nor do rows with a null id or vectors of different lengths. Rows that repeat an id are rows of
     their own and link if their vectors do; each returns with the links of all rows of its id. An empty table gives an
     empty result. Columns besides the two are not read.
 
-    Each row goes to the cells it visits, so a row is copied some ten times; a cell of many rows is dealt
-    out in blocks, each pair of blocks in one group. Links are counted where they are found, and leave it
-    as one sum for each row and a forest that connects them, never as pairs.
+    Rows of equal vectors are one from the start, with their number. Each such class goes to the cells it visits,
+    so it is copied some ten times; a cell of many classes is dealt out in blocks, each pair of blocks in one group.
+    Links are counted where they are found, and leave it as one sum for each class and a forest that connects them,
+    never as pairs.
     """
     import pyarrow as pa
 
     spark = ship(vectors.sparkSession)
-    live = usable(vec_col) & F.exists(vec_col, lambda c: c != 0) & F.col(id_col).isNotNull()
-    rows = vectors.where(F.coalesce(live, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
-    counts = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
+    vectors = vectors.select(F.col(f"`{id_col}`").alias("own"), F.col(f"`{vec_col}`").alias("e"))
+    live = usable("e") & F.exists("e", lambda c: c != 0) & F.col("own").isNotNull()
+    rows = vectors.where(F.coalesce(live, F.lit(False))).select(F.col("own").cast("long").alias("id"), F.col("e").cast("array<double>").alias("v"))
+    rows = rows.select("id", "v", F.size("v").alias("dim"), F.xxhash64("v", F.lit(1)).alias("k1"), F.xxhash64("v", F.lit(2)).alias("k2"))
+    classes = stage(rows.groupBy("dim", "k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v")), "classes")
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     drawn: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id", "v")).limit(sample).select("dim", "v").collect():
+    for r in classes.orderBy("k1", "k2").limit(sample).select("dim", "v").collect():
         drawn.setdefault(r["dim"], []).append(r["v"])
     books = {}
     for dim in counts:
         own = _unit(np.array(drawn.get(dim) or np.eye(dim)[:1], float))
-        codes = int(min(CODES, max(1, round(np.sqrt(counts[dim] / 256))) * 2))
-        half = max(1, dim // 2)
-        one = fit_codebook(own[:, :half], codes)
-        two = fit_codebook(own[:, half:], codes) if dim > 1 else np.zeros((1, 0))
-        books[dim] = one, two, settle_visits(own, one, two, threshold, recall)
+        books[dim] = fit_index(own, int(min(CODES, max(1, round(np.sqrt(counts[dim] / 256))) * 2)), threshold, recall)
     shared = spark.sparkContext.broadcast(books)
 
     def place(batches):
         for b in batches:
-            ids, dims = b.column(0).to_numpy(), b.column(2).to_numpy()
+            dims = b.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
+                at = pa.array(np.flatnonzero(dims == dim))
                 one, two, n = shared.value[dim]
-                v = _unit(b.column(1).take(pa.array(at)).flatten().to_numpy().reshape(-1, dim))
+                v = _unit(b.column(3).take(at).flatten().to_numpy().reshape(-1, dim))
                 seen = visits(v, one, two, n).astype(np.int32)
                 flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), dim, np.int32)), flat(v, pa.float64()), flat(seen, pa.int32())], names=["id", "dim", "v", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), flat(v, pa.float64()), flat(seen, pa.int32()), b.column(4).take(at), b.column(5).take(at)], names=["id", "m", "dim", "v", "cells", "k1", "k2"])
 
-    placed = stage(rows.transform(arrow, place, "id long, dim int, v array<double>, cells array<int>").withColumn("row", F.monotonically_increasing_id()), "placed")
+    placed = classes.select("id", "m", "dim", "v", "k1", "k2").transform(arrow, place, "id long, m long, dim int, v array<double>, cells array<int>, k1 long, k2 long")
+    placed = stage(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
     home = F.element_at("cells", 1)
-    # One row for each cell of the grid that holds anything: at most CODES^2.
-    sizes = placed.groupBy("dim", home.alias("cell")).agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
+    sizes = stage(placed.groupBy("dim", home.alias("cell")).agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     spread = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), n).cast("int")
     all_of = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asked = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(sizes), ["dim", "cell"])
-    asked = asked.select(F.lit(True).alias("asks"), "id", "row", "dim", "v", "cells", "cell", spread(F.col("blocks"), 1).alias("ask_block"), all_of.alias("block"))
-    stored = placed.withColumn("cell", home).join(F.broadcast(sizes), ["dim", "cell"])
-    stored = stored.select(F.lit(False).alias("asks"), "id", "row", "dim", "v", "cells", "cell", all_of.alias("ask_block"), spread(F.col("blocks"), 2).alias("block"))
+    asked = placed.withColumn("cell", F.explode("cells")).join(sizes, ["dim", "cell"])
+    asked = asked.select(F.lit(True).alias("asks"), "id", "m", "row", "dim", "v", "cells", "cell", spread(F.col("blocks"), 1).alias("ask_block"), all_of.alias("block"))
+    stored = placed.withColumn("cell", home).join(sizes, ["dim", "cell"])
+    stored = stored.select(F.lit(False).alias("asks"), "id", "m", "row", "dim", "v", "cells", "cell", all_of.alias("ask_block"), spread(F.col("blocks"), 2).alias("block"))
 
     def verify(t: pa.Table) -> pa.Table:
-        dim, here = t["dim"][0].as_py(), t["cell"][0].as_py()
+        dim = t["dim"][0].as_py()
         asks = t["asks"].to_numpy()
-        row, ids = t["row"].to_numpy(), t["id"].to_numpy()
+        row, ids, m = t["row"].to_numpy(), t["id"].to_numpy(), t["m"].to_numpy()
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         cells = t["cells"].combine_chunks().flatten().to_numpy().reshape(len(row), -1)
         a, s = np.flatnonzero(asks), np.flatnonzero(~asks)
@@ -158,8 +174,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             both = (s_cells[j] == a_home[start + i][:, None]).any(1)
             mine = (row[some[i]] != row[s[j]]) & (~both | (row[some[i]] < row[s[j]]))
             i, j = some[i[mine]], s[j[mine]]
-            np.add.at(links, i, 1)
-            np.add.at(links, j, 1)
+            np.add.at(links, i, m[j])
+            np.add.at(links, j, m[i])
             while len(i):  # hooks roots and halves paths until all found links are within trees
                 x, y = root[i], root[j]
                 least = np.minimum(x, y)
@@ -169,15 +185,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                     root = root[root]
                 apart = root[i] != root[j]
                 i, j = i[apart], j[apart]
-        named = (links > 0) | (root != np.arange(len(row)))
-        out = np.flatnonzero(named)
+        out = np.flatnonzero((links > 0) | (root != np.arange(len(row))))
         return pa.table({"row": row[out], "links": links[out], "a": ids[out], "b": ids[root[out]]})
 
     found = asked.unionByName(stored).groupBy("dim", "cell", "ask_block", "block").applyInArrow(verify, "row long, links long, a long, b long")
     found = stage(found, "links")
-    links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
-    roots = components(found.select("a", "b")).select(F.col("node").alias("id"), "root")
-    kind = dict(vectors.dtypes)[id_col]
-    out = vectors.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id")).join(links, "id", "left").join(roots, "id", "left")
+    links = placed.select("row", "dim", "k1", "k2", "m", F.col("id").alias("rep")).join(found.groupBy("row").agg(F.sum("links").alias("links")), "row", "left")
+    links = links.select("dim", "k1", "k2", "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    of_row = stage(rows.select("id", "dim", "k1", "k2").join(links, ["dim", "k1", "k2"]).select("id", "rep", "n_links"), "rows")
+    # A class's smallest id stands for it; an id of several rows connects their classes.
+    several = of_row.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("id")
+    bridges = of_row.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    roots = components(found.select("a", "b").unionAll(bridges)).select(F.col("node").alias("rep"), "root")
+    of_id = of_row.join(roots, "rep", "left").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.least(F.coalesce("root", "rep"), "id")).alias("root"))
+    kind = dict(vectors.dtypes)["own"]
+    out = vectors.select("own", F.col("own").cast("long").alias("id")).join(of_id, "id", "left")
     component = F.coalesce("root", "id").cast(kind)
     return out.select(F.col("own").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("own") == component, F.lit(True)).alias("kept"))
