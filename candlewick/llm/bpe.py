@@ -242,8 +242,8 @@ def codec(json_text: str) -> TrieBPE:
     return held("bpe", hash(json_text), lambda: TrieBPE(json_text))
 
 
-def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for each row of docs.
+def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded][, carried columns]) for each row of docs.
 
     path: a byte-level BPE file of the tokenizers library. Null and empty texts have no ids and decode to
     the empty text; repeated rows give repeated results; a null id stays null; an empty table gives an empty
@@ -271,8 +271,10 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, id_col: st
             if keep_ids:
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
+            columns, names = columns + b.columns[2:], names + list(carry)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = dict(docs.dtypes)[id_col]
-    more = ", ids array<int>, decoded string" if keep_ids else ""
-    return docs.select(id_col, text_col).transform(arrow, run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    kinds = dict(docs.dtypes)
+    kind, more = kinds[id_col], ", ids array<int>, decoded string" if keep_ids else ""
+    more += "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return docs.select(id_col, text_col, *carry).transform(arrow, run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -33,15 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there and survives lost executors."""
+    """df written to the shared folder and read again: its lineage ends there and survives lost executors.
+
+    The folder is deleted when the driver's process ends, or before by forget().
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    at_end(spark, path)
     return out
 
 
+def at_end(spark: SparkSession, path: str) -> None:
+    """Has the folder that holds a path of shared_folder() deleted when the driver's process ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes what stage() wrote for these frames; nothing may read them afterwards."""
     for df in frames:

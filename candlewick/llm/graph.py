@@ -20,17 +20,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of `edges` (two columns of one orderable type); root: the smallest node reachable.
 
     Nulls and loops are left out, so a node with only those is not in the result. Every round is
-    written to the shared folder. Rounds go on until an edge table repeats itself; hot nodes are
-    joined by AQE's split of skewed joins, and minima are taken before shuffling.
+    written to the shared folder. Rounds go on until an edge table repeats itself, which it does after some
+    log^2 of the nodes, as each round lowers an edge's end or leaves all as they are; hot nodes are joined by
+    AQE's split of skewed joins, and minima are taken before shuffling.
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").distinct()
     now, print_ = stage(edges, "edges"), None
-    for _ in range(limit):
+    while True:
         after = stage(_small_star(_large_star(now)), "edges")
         row = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(now)
@@ -38,7 +39,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if tuple(row) == print_:
             break
         print_ = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._staged = now._staged
+    return out

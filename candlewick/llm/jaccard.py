@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, arrow, bloom, held, plainly_named, stage, tasks, text_pieces
+from .common import BROADCAST_ROWS, arrow, bloom, forget, held, plainly_named, stage, tasks, text_pieces
 from .graph import components
 
 #: Counters of estimated shingle frequencies; the estimates only order shingles and choose l, so results don't depend on them.
@@ -481,9 +481,75 @@ def _links_of_large(sets: DataFrame, sizes: DataFrame, num: int, den: int, block
     return found.unionAll(more)
 
 
-def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group: int, block: int, hot: int) -> DataFrame:
-    """(id, n, k1, k2, root) for each row of docs: its number of shingles, its set's key, and (rep, k1, k2) of the first
-    node of its component, by rep, the smallest id of a node's rows; null without words."""
+def _counted(texts: DataFrame, n: int, num: int, den: int, parts: int, group: int) -> DataFrame:
+    """(k1, k2, links): for each node with links how many rows of other nodes it links to.
+
+    texts: (cluster, held, id, rows, text). A cluster is dealt out in blocks of about half of `group` shingles, and each pair
+    of blocks meets in one task: no link leaves it but as a sum.
+    """
+    import pyarrow as pa
+
+    def probe(sets, of, sizes, rows, out, back):
+        """Adds to out[i] the rows of `of` that sets[i] links to, and, if back is given, the other way round."""
+        flat, owner = np.concatenate(of), np.repeat(np.arange(len(of)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i, s in enumerate(sets):
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            many = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(of))
+            linked = (both > 0) & (den * both >= num * (len(s) + sizes - both))
+            if back is None:
+                linked[i] = False
+            else:
+                back[linked] += rows[0][i]
+            out[i] += rows[1][linked].sum()
+
+    def flush(group_, out):
+        sides = [[x for x in group_.values() if x[0] == f] for f in (0, 1)]
+        counts = [np.zeros(len(x), np.int64) for x in sides]
+        if not sides[0] or not sides[1] and sides[0][0][4]:  # nothing, or one block alone of a pair of blocks
+            return
+        sets, rows = [[x[3] for x in side] for side in sides], [np.array([x[2] for x in side], np.int64) for side in sides]
+        if sides[1]:
+            probe(sets[0], sets[1], np.array([len(s) for s in sets[1]]), rows, counts[0], counts[1])
+        else:
+            probe(sets[0], sets[0], np.array([len(s) for s in sets[0]]), [rows[0], rows[0]], counts[0], None)
+        out += [(*x[1], int(c)) for side, own in zip(sides, counts, strict=True) for x, c in zip(side, own, strict=True) if c]
+
+    def run(batches):
+        now, group_ = None, {}
+        for whole in batches:
+            for b in text_pieces([whole]):
+                out = []
+                for g, first, across, i, m, text in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    if g != now:
+                        flush(group_, out)
+                        now, group_ = g, {}
+                    key = i["rep"], i["k1"], i["k2"]
+                    if key not in group_:
+                        s = shingles(text, n)
+                        if set_key(s) == key[1:]:
+                            group_[key] = first, key[1:], m, s, across
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["k1", "k2", "links"])
+        out = []
+        flush(group_, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["k1", "k2", "links"])
+
+    rows = texts.withColumn("blocks", F.ceil(2 * F.col("held") / group).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    gid = F.concat_ws("/", F.col("cluster").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    rows = rows.select(gid.alias("gid"), (F.col("own") > F.col("other")).cast("int").alias("first"), (F.col("own") != F.col("other")).alias("across"), "id", "rows", "text")
+    found = rows.repartition(parts, "gid").sortWithinPartitions("gid").transform(arrow, run, "k1 long, k2 long, links long")
+    return found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+
+
+def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group: int, block: int, hot: int, links_too: bool = False) -> DataFrame:
+    """(id, n, k1, k2, root[, n_links]) for each row of docs: its number of shingles, its set's key, and (rep, k1, k2) of the
+    first node of its component, by rep, the smallest id of a node's rows; null without words."""
     import pyarrow as pa
 
     if not 0 < num <= den:
@@ -492,17 +558,19 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marks = stage(_fingerprints(docs, n, "id", "text"), "keys")
     keys = marks.where("chunk is null").select("id", "n", "k1", "k2", "bins")
-    nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows"))
     shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), "text", hot), parts)
     bins = keys.where("n > 0").groupBy(F.col("k1").alias("node")).agg(F.min("bins").alias("bins"))
     edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den, parts), "edges")
     pairs = edges.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     clusters = components(pairs.unionAll(edges.where("need = 0").select("a", "b")))
+    forget(edges)
     # Shingles are nodes of the graph as well; only sets' keys are met here.
-    wanted = stage(nodes.where("rep is not null").join(clusters, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "n", F.col("root").alias("cluster")), "wanted")
+    wanted = stage(nodes.where("rep is not null").join(clusters, F.col("k1") == F.col("node")).select("rep", "k1", "k2", "n", "rows", F.col("root").alias("cluster")), "wanted")
     sizes = wanted.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("held")).where("nodes > 1").withColumn("large", F.col("held") > group)
     named = F.struct("rep", "k1", "k2").alias("id")
-    picked = stage(wanted.join(sizes, "cluster").select("rep", "cluster", "large", "nodes", named), "picked")
+    picked = stage(wanted.join(sizes, "cluster").select("rep", "cluster", "large", "nodes", "held", "rows", named), "picked")
+    forget(clusters, wanted)
     texts = docs.where(bloom(picked.select("rep"))(F.col("id"))).select(F.col("id").alias("rep"), "text").join(picked, "rep")
     fits = texts.where("not large").select(F.col("cluster").cast("string").alias("gid"), F.lit(0).alias("first"), "id", F.col("text").alias("s"))
     links = stage(_compared(fits, n, num, den, parts), "links")
@@ -520,25 +588,32 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         kind = dict(picked.dtypes)["id"]
         sets = stage(texts.where("large").select("cluster", "id", "text").transform(arrow, sets_of, f"cluster long, id {kind}, s binary").dropDuplicates(["id"]), "sets")
         connected = components(links.unionAll(_links_of_large(sets, large, num, den, block, parts)))
-    joined = nodes.join(connected.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", F.struct("rep", "k1", "k2")).alias("root"))
-    return keys.drop("bins").join(joined, ["k1", "k2"], "left").select("id", "n", "k1", "k2", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    joined = nodes
+    if links_too:
+        counted = stage(_counted(texts, n, num, den, parts, group), "counted")
+        joined = nodes.join(counted, ["k1", "k2"], "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1)
+    more = ["n_links"] if links_too else []
+    joined = joined.join(connected.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", F.struct("rep", "k1", "k2")).alias("root"), *more)
+    return keys.drop("bins").join(joined, ["k1", "k2"], "left").select("id", "n", "k1", "k2", F.when(F.col("n") > 0, F.col("root")).alias("root"), *more)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT, links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id[, n_links]) for each row of docs.
 
     Two documents link when den * |intersection| >= num * |union| of their shingle sets (compared by 64-bit
     hashes); component_id is the smallest id reachable by links, the document's own included. A document
     without words has no shingles, links with nothing and is its own component. Documents of equal sets
     are one node; rows that repeat an id stay as many rows. A null id is never a component's smallest, and a
     set that only rows with null ids have is compared with nothing; its component is null. An empty table gives
-    an empty result. Other columns, whatever their names, are not read.
+    an empty result. Other columns, whatever their names, are not read. links: count for each row the other rows that
+    it links with directly, too; this compares all pairs of unlike texts within each candidate group.
 
     docs is scanned three times, always whole: for keys and frequencies, for prefixes, and for the candidates'
     texts. Only texts that a Bloom filter of the candidates' ids lets through are shuffled, at any size.
     """
-    found = _classes(docs, n, num, den, id_col, text_col, group, block, hot)
-    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root.rep")).otherwise(F.col("id")).alias("component_id"))
+    found = _classes(docs, n, num, den, id_col, text_col, group, block, hot, links)
+    more = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root.rep")).otherwise(F.col("id")).alias("component_id"), *more)
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

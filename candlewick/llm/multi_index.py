@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow, ship, stage
+from .common import BROADCAST_ROWS, arrow, forget, ship, stage
 from .graph import components
 from .topk import usable
 
@@ -144,6 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
 
     placed = classes.select("id", "m", "dim", "v", "k1", "k2").transform(arrow, place, "id long, m long, dim int, v array<double>, cells array<int>, k1 long, k2 long")
     placed = stage(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
+    forget(classes)
     home = F.element_at("cells", 1)
     sizes = stage(placed.groupBy("dim", home.alias("cell")).agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks")), "sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
@@ -197,6 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     several = of_row.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("id")
     bridges = of_row.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(found.select("a", "b").unionAll(bridges)).select(F.col("node").alias("rep"), "root")
+    forget(found, placed)
     of_id = of_row.join(roots, "rep", "left").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.least(F.coalesce("root", "rep"), "id")).alias("root"))
     kind = dict(vectors.dtypes)["own"]
     out = vectors.select("own", F.col("own").cast("long").alias("id")).join(of_id, "id", "left")

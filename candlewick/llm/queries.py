@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import bpe, counts, html_text, jaccard, mixing, multi_index, pii, token_store, topk, toxicity
-from .common import shared_folder, table
+from .common import at_end, shared_folder, table
 
 
 def _tokenizer(name: str) -> str:
@@ -24,6 +24,7 @@ def op1_toxicity(spark, sf_dir):
 def op2_token_store(spark, sf_dir):
     path = shared_folder(spark) + "/tokens"
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    at_end(spark, path)
     return token_store.digests(spark, path)
 
 

@@ -105,6 +105,17 @@ def test_shared_gives_the_last_holder_of_a_large_shingle(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("group", [4_000_000, 300])
+def test_jaccard_counts_links(spark, group):
+    rows = near_texts(14) + [(900 + i, "the very same words again and again") for i in range(3)]
+    sets = [word_sets(t, 3) for _, t in rows]
+    linked = lambda a, b: a and 100 * len(a & b) >= 90 * len(a | b)
+    want = sorted((rows[i][0], sum(bool(linked(sets[i], sets[j])) for j in range(len(rows)) if j != i)) for i in range(len(rows)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True, group=group, block=8)
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == want
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_jaccard(rows, 3, 90, 100)
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (9, "A b c d"), (8, None), (8, None), (None, "a b c d"), (None, "z")], "doc_id long, text string")
