@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import arrow, partitions, text_pieces
+from .common import arrow, tasks, text_pieces
 
 END = 2
 #: Documents of a stripe, at most: some ten megabytes of ids, so that files of a few hundred are read by several tasks.
@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), start, pa.array(n), tokens], names=[id_col, "part", "local_start", "n_tokens", "tokens"])
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(id_col, text_col).repartitionByRange(files or partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
+    rows = docs.select(id_col, text_col).repartitionByRange(files or tasks(docs), id_col).sortWithinPartitions(id_col, text_col)
     rows = rows.transform(arrow, run, f"`{id_col}` {kind}, part int, local_start long, n_tokens long, tokens array<int>")
     (
         rows.write.option("orc.bloom.filter.columns", id_col)

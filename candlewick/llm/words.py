@@ -68,8 +68,8 @@ class WordEncoder:
 
     Words of plain characters are lower-cased and split as the vocabulary's pattern does; the distinct parts
     go to the library joined by spaces, and the ids are parted where a token ends a word. All other words
-    go to it by themselves. limit: bytes of words kept, about; batch_bytes: about so many characters go to the
-    library at once, so that batches are even in bytes whatever the words' lengths.
+    go to it by themselves. limit: bytes of words kept, about; batch_bytes: about so many bytes go to the library
+    at once, so that batches are even whatever the words' lengths and letters.
     """
 
     def __init__(self, json_text: str, limit: int = 160_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
@@ -93,7 +93,7 @@ class WordEncoder:
         batch, held = [], 0
         for x in items:
             batch.append(x)
-            held += len(x)
+            held += len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass"))
             if held >= self.batch_bytes:
                 yield batch
                 batch, held = [], 0

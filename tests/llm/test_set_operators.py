@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from candlewick.llm import jaccard, mixing, multi_index, pii, topk, toxicity
+from pyspark.sql import functions as F
+
+from candlewick.llm import jaccard, mixing, multi_index, pii, queries, topk, toxicity
 from candlewick.llm.graph import components
 
 
@@ -214,6 +216,53 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_with_ties_and_repeats(spark):
+    """Equal scores go to the smaller id; rows that repeat an id are one candidate; several blocks to a cell."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(-1, 2, size=(400, 6)).astype(float)
+    ids = [int(i) for i in rng.integers(0, 350, 400)]
+    rows = list(zip(ids, v.tolist())) + [(0, [1.0] * 6), (50, [0.0] * 6)]
+    x = [(i, np.floor(256 * np.array(e)).astype(np.int64)) for i, e in rows]
+    want = []
+    for q in sorted({i for i, _ in x if i % 50 == 0}):
+        best: dict[int, int] = {}
+        for i, e in x:
+            if i == q:
+                for j, f in x:
+                    if j != q:
+                        best[j] = max(best.get(j, -(1 << 60)), int(e @ f))
+        want += [(q, r + 1, j, s) for r, (j, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (16, 16_384):
+        assert sorted(map(tuple, topk.top_k(frame, candidate_block=block).collect())) == want
+
+
+def test_cells_are_ruled_out_before_the_shuffle(spark, monkeypatch):
+    """On vectors in clusters queries ask few blocks, and the result is exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8))
+    v = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 8)) * 0.01
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    asked, meet = [], topk._meet
+
+    def counting(asks, *more):
+        asked.append(asks.count())
+        return meet(asks, *more)
+
+    monkeypatch.setattr(topk, "_meet", counting)
+    monkeypatch.setattr(topk, "ANCHOR_ROWS", 60)
+    frame = spark.createDataFrame([(i, [float(c) for c in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(frame, candidate_block=100).collect()))
+    x = np.floor(256 * v).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 50):
+        s = x @ x[q]
+        s[q] = -(1 << 60)
+        want += [(q, r + 1, int(j), int(s[j])) for r, j in enumerate(np.lexsort((np.arange(6000), -s))[:5])]
+    assert got == want
+    assert asked[0] == 120 and asked[1] < 0.3 * 120 * 100
+
+
 def test_top_k_eliminates():
     """On vectors with structure most candidates are never evaluated, and the result is exact."""
     rng = np.random.default_rng(1)
@@ -250,6 +299,26 @@ def test_near_duplicate_vectors(spark):
     assert multi_index.near_duplicates(vector_frame(spark, v).limit(0)).count() == 0
 
 
+def test_equal_vectors_are_one_row(spark):
+    """A hundred thousand rows of one vector, near and far ones, and ids of several rows."""
+    n = 100_000
+    one = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(k + 1)) for k in range(8)]).alias("embedding"))
+    near = [float(k + 1) for k in range(7)] + [8.3]
+    more = spark.createDataFrame([(n, near), (n + 1, [-c for c in near]), (n + 2, [-2 * c for c in near]), (n + 3, [1.0] + [0.0] * 7), (n + 4, [0.0, 1.0] + [0.0] * 6), (n + 4, [0.0, 0.0, 1.0] + [0.0] * 5), (n + 5, [0.0, 2.0] + [0.0] * 6), (n + 6, [0.0, 0.0, 3.0] + [0.0] * 5)], "vec_id long, embedding array<double>")
+    got = multi_index.near_duplicates(one.unionAll(more)).groupBy("n_links", "component_id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"), F.min("vec_id").alias("least")).collect()
+    assert sorted(map(tuple, got)) == sorted([(n, 0, n + 1, 1, 0), (1, n + 1, 2, 1, n + 1), (0, n + 3, 1, 1, n + 3), (2, n + 4, 2, 2, n + 4), (1, n + 4, 2, 0, n + 5)])
+
+
+def test_codebooks_get_coarser_until_the_recall_is_reached(monkeypatch):
+    rng = np.random.default_rng(5)
+    sample = multi_index._unit(rng.normal(size=(800, 16)))
+    monkeypatch.setattr(multi_index, "MOST_CELLS", 2)
+    one, two, n = multi_index.fit_index(sample, 64, 0.6, 0.99)
+    assert len(one) < 64 and multi_index.settle_visits(sample, one, two, 0.6, 0.99) == n <= 2
+    assert multi_index.settle_visits(sample, *multi_index.fit_index(sample, 64, 0.6, 0.99)[:2], 0.6, 0.99) is not None
+    assert multi_index.settle_visits(sample, multi_index.fit_codebook(sample[:, :8], 64), multi_index.fit_codebook(sample[:, 8:], 64), 0.6, 0.99) is None
+
+
 def test_cells_are_visited_nearest_first():
     rng = np.random.default_rng(4)
     one, two, v = rng.normal(size=(9, 4)), rng.normal(size=(7, 4)), rng.normal(size=(50, 8))
@@ -311,6 +380,42 @@ def test_mixing_over_several_chunks(spark, monkeypatch, most):
     assert sorted(r.doc_id for r in got) == list(range(4000))
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.12345, "b": 0.0004, "c": 0.87615}, {f"s{i}": random.Random(i).random() + 1e-4 for i in range(40)}])
+def test_deviation_from_given_weights_in_every_slot(weights):
+    """Less than one block, in each of 100,000 slots, from the weights as they are given."""
+    own = mixing.whole(weights)
+    total, had = sum(own.values()), dict.fromkeys(own, 0)
+    watched = sorted(own, key=own.get)[:2] + sorted(own, key=own.get)[-2:]
+    for t, (s, i, slot, release, due) in enumerate(mixing.plan(dict.fromkeys(own, 200_000), weights)):
+        had[s] += 1
+        assert slot == t and release <= t < due and abs(had[s] * total - own[s] * (t + 1)) < total
+        assert all(abs(had[x] * total - own[x] * (t + 1)) < total for x in watched)
+        if t == 100_000:
+            break
+
+
+def test_schedule_by_a_plain_version(spark):
+    """The registered query's rows: ranks by hash within each source, blocks of 64, slots of the plan."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", F.coalesce("source", F.lit("")), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17))).collect()]
+    of: dict[str, list] = {}
+    for i, s, h in rows:
+        of.setdefault(s, []).append((h % (1 << 64) >> 32, h, i))
+    counts = {s: len(x) for s, x in of.items()}
+    slots = {(s, b): place for s, b, *place in mixing.plan({s: -(-n // 64) for s, n in counts.items()}, mixing.default_weights(counts))}
+    want = sorted((i, s, k // 64, *slots[s, k // 64]) for s, x in of.items() for k, (_, _, i) in enumerate(sorted(x)))
+    got = queries.QUERIES["op3_mixing"](spark, folder).collect()
+    assert sorted((r.doc_id, r.source or "", r.block, r.slot, r.release, r.deadline) for r in got) == want
+
+
+def test_many_sources(spark):
+    """Thousands of sources are counted and planned off the driver."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 3000).cast("string").alias("source"))
+    got = mixing.schedule(docs, block=1)
+    assert got.count() == 6000 and got.select("slot").distinct().count() == 6000
+
+
 def test_mixing_keeps_all_rows_in_schedule_order(spark, tmp_path):
     rng = random.Random(3)
     sizes = {"a": 4000, "b": 500, "": 60, "d": 1}

@@ -321,6 +321,49 @@ def test_marginals_by_enumeration():
         assert np.allclose(got[s:e], np.log(mass[:, 1] / mass[:, 0]))
 
 
+def test_scores_by_enumeration():
+    """The score and spans of short texts, from all taggings of their words."""
+    from itertools import product
+
+    rng = random.Random(6)
+    weights = {f: rng.uniform(-2, 2) for w in ("bad", "good", "some", "thing") for f in toxicity.features(w)}
+    model = toxicity.Field(weights, bias=-0.5, turn=np.array([[0.3, -0.4], [-0.2, 0.6]]), start=np.array([0.1, -0.3]), scale=0.8, shift=0.2)
+    texts = ["", "bad", "good some bad thing", "  thing\tbad  bad, some-good ", "bad bad bad bad bad bad"]
+    scorer = toxicity.Scorer(model)
+    for text, (score, spans) in zip(texts, scorer.scores(texts, spans=True)):
+        words_ = text.split()
+        u = [model.potential(w) for w in words_]
+        mass = np.zeros((len(u), 2))
+        for tags in product((0, 1), repeat=len(u)):
+            x = sum(u[k] for k, t in enumerate(tags) if t) + sum(model.turn[a, b] for a, b in zip(tags, tags[1:])) + (model.start[tags[0]] if u else 0)
+            for k, t in enumerate(tags):
+                mass[k, t] += np.exp(x)
+        odds = np.log(mass[:, 1] / mass[:, 0]) if u else np.zeros(0)
+        z = np.log(np.sum(np.exp(4 * odds))) / 4 if u else -30.0
+        assert score == pytest.approx(1 / (1 + np.exp(-(0.8 * z + 0.2))))
+        want, at, held = [], 0, False
+        for w, o in zip(words_, odds):
+            begin = text.index(w, at)
+            at = begin + len(w)
+            if o >= 0:
+                want = [*want[:-1], (want[-1][0], at)] if held else [*want, (begin, at)]
+            held = o >= 0
+        assert [(s, e) for s, e, _ in spans] == want
+
+
+def test_toxicity_of_very_long_and_repeated_rows(spark):
+    rows = labelled(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:20]] + [(7000, "ba re " * 400_000), (7001, "x" * 2_000_000), (7002, "ba " * 300_000 + "vilegu" + " ba" * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, y) for i, _, y in rows[:30]], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {}
+    for r in toxicity.score(docs, model).collect():
+        assert got.setdefault(r.doc_id, r) == r
+    assert len(got) == 303 and got[7000].score < 0.3 and got[7001].score < 0.3
+    assert [(s.start, s.end) for s in got[7002].spans] == [(900_000, 900_006)] and got[7002].score >= 0.3
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs.limit(0), model).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_toxicity", "op2_token_store", "op4_pii", "op7_bpe", "op8_token_counts", "op10_html_text"])
 def test_registered_queries_cover_whole_tables(spark, name):
     folder = "/root/testdata/sf0.001"
