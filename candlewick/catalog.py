@@ -507,11 +507,11 @@ def q_extra_stocks(spark, sf_dir):
     return _screen(spark, sf_dir, stage).extra(stage).select(*KEY, "date", "close", F.round("sma_3", 6).alias("sma_3"))
 
 
-@_query("q_market_of_named", f"{_BARS}{_INDEX} SELECT b.market, b.code, b.date, coalesce(b.close > i.close, false) AS passed FROM b LEFT JOIN (SELECT date, close FROM ib WHERE market = 1) i USING (date)")
-def q_market_of_named(spark, sf_dir):
-    """The index of a named series' market."""
-    path = end(0, Node("stock", "MarketNamed", ("SH.000004",)))
-    return _screen(spark, sf_dir, Stage("s", conditions=[("c", ex("Gt", CLOSE, val(path, "close")))])).scan().select(*KEY, "date", "passed")
+@_query("q_market_named", f"{_BARS} SELECT b.market, b.code, b.date, coalesce(b.close > i.open, false) AS passed FROM b LEFT JOIN (SELECT date, lag(open) OVER (ORDER BY date) AS open FROM b WHERE (market, code) = (1, 4)) i USING (date)")
+def q_market_named(spark, sf_dir):
+    """An index that is named by its symbol."""
+    path = end(-1, Node("stock", "MarketNamed", ("SH.000004",)))
+    return _screen(spark, sf_dir, Stage("s", conditions=[("c", ex("Gt", CLOSE, val(path, "open")))]), index_bars=_bars(spark, sf_dir)).scan().select(*KEY, "date", "passed")
 
 
 @_query("q_limit_prices", f"{_BARS} SELECT market, code, date, floor(close * 1.1 * 100 + 0.5) / 100 AS up FROM b WHERE close > 0")

@@ -230,14 +230,11 @@ class Screen:
 
     def _with_other(self, out: DataFrame, stages: list[Stage], stock: Node, wanted, first, last) -> DataFrame:
         """Another stock's values joined by date. It is broadcast: one series for each market has one row a day, some 10,000 for forty years."""
-        if stock.kind in ("Market", "MarketNamed"):
+        if stock.kind == "Market":
             keys = {m: self.index_key(m) for m in ({*MARKETS.values()} | set(self.index or ()))}
         else:
             key = symbol_key(stock.args[0])
             keys = {None: key if key is not None else (-1, -1)}
-        if stock.kind == "MarketNamed":  # the index of a named stock's market, for all
-            key = symbol_key(stock.args[0])
-            keys = {None: self.index_key(key[0]) if key is not None else (-1, -1)}
         rows = self.index_bars.where(F.struct(*KEY).isin([F.struct(F.lit(m).cast("int"), F.lit(c).cast("int")) for m, c in {*keys.values()}]))
         if first is not None:
             rows = rows.where(F.col("date").between(F.lit(first - timedelta(days=400)), F.lit(last)))
@@ -268,8 +265,7 @@ class Screen:
                 rows = rows.withColumn(column, empty)
                 continue
             minutes = self.minutes.select(*KEY, "date", "minute", "price", "avg", "volume")
-            offsets = getattr(own, "window", None) is not None or isinstance(own, BarColumns)
-            if offsets and own.points.get(point) == 0:
+            if isinstance(own, BarColumns) and own.points.get(point) == 0:
                 minutes = minutes.where(F.col("date").between(F.lit(self.frm), F.lit(until)))
             if stock.kind == "Current":
                 market, code = F.col("market"), F.col("code")
@@ -278,7 +274,6 @@ class Screen:
                 market, code = at["col1"], at["col2"]
             else:
                 key = symbol_key(stock.args[0]) or (-1, -1)
-                key = self.index_key(key[0]) if stock.kind == "MarketNamed" else key
                 market, code = F.lit(key[0]), F.lit(key[1])
             rows = rows.withColumn("__k_market", F.when(alive, market)).withColumn("__k_code", F.when(alive, code)).withColumn("__k_date", F.when(alive, dates[point]))
             if some or stock.kind != "Current":
