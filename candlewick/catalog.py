@@ -14,6 +14,7 @@ from .operators.results import chart_ranges, counts, minute_ranges, ranked, rena
 from .operators.screen import KEY, Screen, symbol_of
 from .plans.ast import CURRENT, MARKET, Block, Node, Pattern, Pipeline, Registry, Stage, each, end, ex, fx, mx, named, point, start, tm, val
 from .plans.forms import collected, condition_from, counter_market, engulfing_stage, form_stage, group
+from .plans.needs import stocks as others
 from .sources.bars import event_bars, event_index, event_minutes, on_boards, sampled
 
 FRM, TO = date(1990, 1, 1), date(2100, 1, 1)
@@ -43,7 +44,8 @@ def _events(spark, sf_dir):
 
 def _screen(spark, sf_dir, *stages: Stage, **more) -> Screen:
     events = _events(spark, sf_dir)
-    more.setdefault("index_bars", event_index(events))
+    if any(map(others, stages)):
+        more.setdefault("index_bars", event_index(events))
     return Screen(Pipeline(list(stages)), event_bars(events), FRM, TO, index=INDEX, **more)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import KEY, default_registry, output_name, series, with_indicators
-from ..functions.scalars import both, candle, is_candle, yes
+from ..functions.scalars import both, candle, either, yes
 from ..plans.ast import Node, Pipeline, Registry, Stage
 from ..plans.compiler import BarArrays, BarColumns, Compiler, Dynamic
 from ..plans.needs import padded, reach, walk
@@ -300,6 +300,15 @@ class Screen:
         mark = lambda d, v, l: F.when(d.isNotNull(), F.struct(d.alias("date"), F.coalesce(v, F.lit(0.0)).alias("value"), F.lit(l).cast("string").alias("label")))
         return F.struct(failed.isNull().alias("passed"), failed.alias("failed"), F.slice(names, 1, upto).alias("names"), _entries(points, "date").alias("points"), _entries([(n, mark(d, v, l)) for n, d, v, l in marks], _MARK).alias("marks"), begins.alias("begins"))
 
+    @staticmethod
+    def _single(stage: Stage, window: Column) -> Column:
+        """A stage's result from its one window."""
+        good = window["passed"]
+        return F.struct(
+            F.lit(stage.name).alias("stage_name"), F.col("date").alias("date"), good.alias("passed"), window["names"].alias("passed_conditions"), window["failed"].alias("failed_condition"),
+            window["points"].alias("points"), (F.when(good, window["marks"]).otherwise(_entries([], _MARK)) if stage.marks else window["marks"]).alias("marks"), F.array().cast(_MATCHES).alias("matches"),
+        ).cast(RESULT)
+
     @staticmethod
     def _folded(stage: Stage, windows: Column) -> Column:
         """A stage's result from its windows (pieces): it passes if one does, and the first that does gives points and marks."""
@@ -349,9 +358,9 @@ class Screen:
         if whole:
             keep = keep | (F.col("__last").isNull() & (F.col("date") == F.max("date").over(Window.partitionBy(*KEY))))
         rows = bars.withColumns(columns | {"__keep": keep}).where("__keep")
-        alive, some = F.col("is_anchor"), keys is not None
+        alive, some = F.col("is_anchor") if not scan else F.lit(True), keys is not None
         for k, (stage, own) in enumerate(zip(seg.stages, seg.forms, strict=True)):
-            pieces = []
+            pieces, fine = [], []
             for f in own:
                 pre = f.own.prefix
                 matched = self._matches(f.part)
@@ -364,16 +373,23 @@ class Screen:
                 marks = [(n, F.col(f"{pre}_mark{i}"), F.col(f"{pre}_markv{i}"), l) for i, (n, _, _, l) in enumerate(f.marks)]
                 piece = self._piece(f, list(dates.items()), F.col(f"{pre}_start") if f.part else F.lit(None).cast("date"), marks)
                 pieces.append(piece if matched is None else F.when(matched, piece))
+                fine.append(both([*([matched] if matched is not None else []), *[F.col(c).isNotNull() for c, _, _ in f.vars], *[F.col(c) for c, _, _, _ in f.conditions]]))
+            if stage.kline_pattern is None:
+                rows = rows.withColumns({f"__w{k}": pieces[0], f"__p{k}": fine[0]}).withColumn(f"__r{k}", self._single(stage, F.col(f"__w{k}")))
+                alive, some = alive & F.col(f"__p{k}"), True
+                continue
             kind = "array<struct<passed:boolean,failed:string,names:array<string>,points:map<string,date>,marks:map<string," + _MARK + ">,begins:date>>"
             windows = F.filter(F.array(*pieces), lambda x: x.isNotNull()) if pieces else F.array().cast(kind)
-            rows = rows.withColumn(f"__w{k}", windows).withColumn(f"__r{k}", self._folded(stage, F.col(f"__w{k}")))
-            alive, some = alive & F.col(f"__r{k}")["passed"], True
+            rows = rows.withColumns({f"__w{k}": windows, f"__p{k}": either(fine)}).withColumn(f"__r{k}", self._folded(stage, F.col(f"__w{k}")))
+            alive, some = alive & F.col(f"__p{k}"), True
         n, upto = len(seg.stages), F.lit(len(seg.stages))
         for k in reversed(range(n - 1)):
-            upto = F.when(~F.col(f"__r{k}")["passed"], F.lit(k + 1)).otherwise(upto)
-        results = F.slice(F.array(*[F.col(f"__r{k}") for k in range(n)]), 1, upto)
-        results = F.when(F.col("is_anchor"), results).otherwise(F.array(self._missing(lead)))
-        return rows.select(*KEY, F.when(F.col("is_anchor"), F.col("date")).alias("date"), alive.alias("passed"), results.alias("results"))
+            upto = F.when(~F.col(f"__p{k}"), F.lit(k + 1)).otherwise(upto)
+        results, day = F.array(*[F.col(f"__r{k}") for k in range(n)]), F.col("date")
+        results = F.slice(results, 1, upto) if n > 1 else results
+        if whole:
+            results, day = F.when(F.col("is_anchor"), results).otherwise(F.array(self._missing(lead))), F.when(F.col("is_anchor"), day)
+        return rows.select(*KEY, day.alias("date"), alive.alias("passed"), results.alias("results"))
 
     @staticmethod
     def _matches(part: Partition | None) -> Column | None:
