@@ -242,8 +242,21 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, t
     return docs.select(text_col).transform(arrow, run, "token long, node long, meta long, salt int")
 
 
-def _shared(rows: DataFrame, parts: int) -> DataFrame:
-    """Of the prefixes' rows those whose shingle two nodes or more hold, each node once."""
+def alike_in_size(run: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows have another of their run that they may link with by size: the next smaller or the next larger one."""
+    order = np.lexsort((size, run))
+    r, s = run[order], size[order]
+    near = (r[1:] == r[:-1]) & (den * s[:-1] >= num * s[1:])
+    out = np.zeros(len(run), bool)
+    out[order] = np.r_[False, near] | np.r_[near, False]
+    return out
+
+
+def _shared(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Of the prefixes' rows those whose shingle another node of a size that allows a link holds, each node once.
+
+    A salted shingle's rows all go out, as do those of a shingle of more than MANY holders.
+    """
     import pyarrow as pa
 
     names = ["token", "node", "meta", "salt"]
@@ -255,14 +268,13 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
             c = [b.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 c = [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
-            token, node, _, salt = c
+            token, node, meta, salt = c
             first = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
             fresh = first | np.r_[True, node[1:] != node[:-1]]
             run_of = np.cumsum(first) - 1
-            nodes = np.bincount(run_of, fresh)
-            nodes[0] += sent
             last = run_of == run_of[-1]
-            give = fresh & (nodes[run_of] > 1) & ~last | (salt > 0) & fresh & ~last
+            give, at = fresh & ~last, np.flatnonzero(fresh & ~last & (salt == 0))
+            give[at] = alike_in_size(run_of[at], meta[at] >> 16, num, den) | (run_of[at] == 0) & sent
             tail = np.flatnonzero(last & fresh)
             if len(tail) > MANY:  # enough to know: all but one row go out, and that one stays to be met by later ones
                 give[tail[:-1]] = True
@@ -275,7 +287,8 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in c], names=names)
         if held is not None:
             # Of a shingle whose earlier rows went out already, one row is left.
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+            give = (held[3] > 0) | sent | alike_in_size(np.zeros(len(held[0]), int), held[2] >> 16, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in held], names=names)
 
     return rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "node").transform(arrow, run, "token long, node long, meta long, salt int")
 
@@ -559,7 +572,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     marks = stage(_fingerprints(docs, n, "id", "text"), "keys")
     keys = marks.where("chunk is null").select("id", "n", "k1", "k2", "bins")
     nodes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows"))
-    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), "text", hot), parts)
+    shared = _shared(_prefixes(docs, n, num, den, _sketch(marks), "text", hot), parts, num, den)
     bins = keys.where("n > 0").groupBy(F.col("k1").alias("node")).agg(F.min("bins").alias("bins"))
     edges = stage(_bucket_edges(shared.join(bins, "node").select("token", "node", "meta", "salt", "bins"), num, den, parts), "edges")
     pairs = edges.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
@@ -593,8 +606,12 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         counted = stage(_counted(texts, n, num, den, parts, group), "counted")
         joined = nodes.join(counted, ["k1", "k2"], "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1)
     more = ["n_links"] if links_too else []
-    joined = joined.join(connected.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("root", F.struct("rep", "k1", "k2")).alias("root"), *more)
-    return keys.drop("bins").join(joined, ["k1", "k2"], "left").select("id", "n", "k1", "k2", F.when(F.col("n") > 0, F.col("root")).alias("root"), *more)
+    joined = joined.join(connected.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root"), ["k1", "k2"], "left").select("k1", "k2", "rows", F.coalesce("root", F.struct("rep", "k1", "k2")).alias("root"), *more)
+    # Sets that a thousandth of all rows or more have, a thousand at most, meet their rows where these are; the others by a shuffle.
+    every = keys.select("id", "n", "k1", "k2")
+    hot_sets = F.broadcast(stage(joined.where(F.col("rows") * 1_000 >= every.count()), "hot"))
+    met = every.join(hot_sets, ["k1", "k2"]).unionByName(every.join(hot_sets, ["k1", "k2"], "left_anti").join(joined, ["k1", "k2"], "left"))
+    return met.select("id", "n", "k1", "k2", F.when(F.col("n") > 0, F.col("root")).alias("root"), *more)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, hot: int = HOT, links: bool = False) -> DataFrame:
