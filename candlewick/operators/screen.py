@@ -181,13 +181,14 @@ class Screen:
             outputs = self._outputs(stage)
             fits = last is not None and last.forms is not None and last.stages[0].timeframe == stage.timeframe and until(last.stages[0]) == until(stage)
             fits = fits and all(outputs.get(n, o) == o for s in last.stages for n, o in self._outputs(s).items())
-            fields = last.fields if fits else {}
+            fields = dict(last.fields) if fits else {}
             forms = self._forms(stage, f"__{k}", fields)
             if forms is None:
                 out.append(Segment([stage], None))
             elif fits:
                 last.stages.append(stage)
                 last.forms.append(forms)
+                last.fields = fields
             else:
                 out.append(Segment([stage], [forms], fields))
         return out
