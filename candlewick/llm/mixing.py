@@ -142,14 +142,24 @@ def default_weights(counts: dict[str, int], power: float = 0.7) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int | None, id_col: str, source_col: str, carry: list[str]) -> DataFrame:
-    """(__id, __source, __block, __slot, __release, __due, __u, __h, __k0, __k1, ...) for each row of docs; __k: the carried columns."""
+def _keyed(docs: DataFrame, id_col: str, source_col: str, carry: list[str]) -> DataFrame:
+    """(__id, __source, __s, __h, __u, __k0, ...): the source as text, a hash of the id and its upper half, and the carried columns."""
     rows, names = plainly_named(docs)
     at = dict(zip(docs.columns, names, strict=True))
-    kinds = dict(rows.dtypes)
-    id_, source = F.col(at[id_col]), F.col(at[source_col])
-    own = rows.select(id_.alias("__id"), source.alias("__source"), F.coalesce(source.cast("string"), F.lit("")).alias("__s"), *[F.col(at[c]).alias(f"__k{i}") for i, c in enumerate(carry)])
-    own = own.withColumn("__h", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(17))).withColumn("__u", F.shiftrightunsigned("__h", 32))
+    source = F.col(at[source_col])
+    own = rows.select(F.col(at[id_col]).alias("__id"), source.alias("__source"), F.coalesce(source.cast("string"), F.lit("")).alias("__s"), *[F.col(at[c]).alias(f"__k{i}") for i, c in enumerate(carry)])
+    return own.withColumn("__h", F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(17))).withColumn("__u", F.shiftrightunsigned("__h", 32))
+
+
+def _order(own: DataFrame) -> list:
+    """The order of a source's rows: by hash, then id, then a hash of the carried columns but maps."""
+    plain = [F.col(c) for c, k in own.dtypes if c.startswith("__k") and "map<" not in k and "variant" not in k]
+    return [F.col("__u"), F.col("__h"), F.col("__id"), *([F.xxhash64(*plain)] if plain else [])]
+
+
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int | None, id_col: str, source_col: str, carry: list[str]) -> DataFrame:
+    """(__id, __source, __s, __block, __slot, __release, __due, __u, __h, __k0, __k1, ...) for each row of docs; __k: the carried columns."""
+    own = _keyed(docs, id_col, source_col, carry)
     counts = stage(own.groupBy("__s").agg(F.count("*").alias("n")), "counts")
     if weights is not None:
         missing = [r["__s"] for r in counts.toLocalIterator() if r["__s"] not in weights]
@@ -164,15 +174,14 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, pe
     own = own.join(F.broadcast(cut) if few else cut, "__s").withColumn("__b", F.shiftright(F.col("__u") * F.col("__cuts"), 32)).drop("__cuts")
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = own.groupBy("__s", "__b").agg(F.count("*").alias("m")).withColumn("__start", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    plain = [F.col(f"__k{i}") for i, c in enumerate(carry) if "map<" not in kinds[at[c]] and "variant" not in kinds[at[c]]]
-    order = Window.partitionBy("__s", "__b").orderBy("__u", "__h", "__id", *([F.xxhash64(*plain)] if plain else []))
+    order = Window.partitionBy("__s", "__b").orderBy(*_order(own))
     ranked = own.withColumn("__r", F.row_number().over(order) - 1)
     ranked = ranked.join(F.broadcast(starts) if few else starts, ["__s", "__b"]).withColumn("__block", F.floor((F.col("__start") + F.col("__r")) / block))
     ranked = ranked.withColumn("__chunk", F.floor(F.col("__block") / CHUNK).cast("long")).drop("__b", "__start", "__r")
     table = _plan(counts, weights, block, period)
     found = ranked.join(F.broadcast(table) if blocks <= PLAN_BLOCKS else table, ["__s", "__chunk"])
     place = F.pmod(F.col("__block"), F.lit(CHUNK)).cast("int")
-    return found.withColumns({"__slot": F.get("__slots", place), "__release": F.get("__releases", place), "__due": F.get("__dues", place)}).drop("__slots", "__releases", "__dues", "__chunk", "__s")
+    return found.withColumns({"__slot": F.get("__slots", place), "__release": F.get("__releases", place), "__due": F.get("__dues", place)}).drop("__slots", "__releases", "__dues", "__chunk")
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -186,7 +195,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     result. Extra columns may have any names and types and are not read.
 
     Ranks within a source come from counts of ranges of hashes plus ranks within a range, so a source that holds a
-    third of all rows is dealt out evenly. The plan is made by one task, which holds the sources' counts and
+    third of all rows is dealt out evenly; only rows of one id, or of none, stay together. The plan is made by one task, which holds the sources' counts and
     heaps (some 500 bytes a source) and gives blocks one by one; a source that ends costs a pass over those left.
     It is broadcast up to PLAN_BLOCKS blocks; beyond it rows are shuffled once more, by source and chunk.
     """
@@ -194,16 +203,62 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     return found.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("__block").cast("long").alias("block"), F.col("__slot").alias("slot"), F.col("__release").alias("release"), F.col("__due").alias("deadline"))
 
 
+def _places(docs: DataFrame, weights, block: int, period, id_col: str, source_col: str, parts: int):
+    """Where rows go when the schedule is cut into `parts` runs of slots, from ids and sources alone: (cells, cuts, index).
+
+    cells: (__s, __p, first, slots, base): of each source and run its first block, the slots of its blocks, and the rows of
+    the source before it. cuts: (__s, __cuts): into how many ranges of hashes a source is cut. index: (__s, __b, ends): for each
+    range the runs that its rows go to, by the least hash that goes there. None where two rows of one hash go to unlike runs.
+    """
+    ids = _scheduled(docs, weights, block, period, id_col, source_col, []).select("__s", "__u", "__h", "__block", "__slot")
+    ids = stage(ids, "slots")
+    total, rows = ids.agg(F.coalesce(F.max("__slot") + 1, F.lit(1)), F.count("*")).first()
+    run, key = F.floor(F.col("__slot") * parts / total).cast("int"), F.struct("__u", "__h")
+    cells = ids.groupBy("__s", run.alias("__p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"), F.min("__block").alias("first"), F.array_sort(F.collect_set(F.struct("__block", "__slot"))).alias("slots"))
+    by = Window.partitionBy("__s").orderBy("__p")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"tied": F.lag("hi").over(by) == F.col("lo"), "base": F.coalesce(F.sum("n").over(before), F.lit(0)), "slots": F.transform("slots", lambda x: x["__slot"])})
+    cells = stage(cells, "cells")
+    many, ties = cells.agg(F.count("*"), F.coalesce(F.bool_or("tied"), F.lit(False))).first()
+    if ties or many > BROADCAST_ROWS:
+        return None
+    each = max(256, -(-rows // BROADCAST_ROWS))
+    cuts = ids.groupBy("__s").agg(F.ceil(F.count("*") / each).alias("__cuts"))
+    range_of = lambda c: F.shiftright(F.col(c)["__u"] * F.col("__cuts"), 32)
+    spans = cells.join(cuts, "__s").withColumn("__b", F.explode(F.sequence(range_of("lo"), range_of("hi"))))
+    index = spans.groupBy("__s", "__b").agg(F.array_sort(F.collect_list(F.struct("lo", "__p"))).alias("ends"))
+    return cells, stage(cuts, "cuts"), stage(index, "index")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs in the order of the schedule: partitions, and rows within them, ascend by slot, so files written from it are in mixed order.
 
     All rows and columns of docs stay, whatever the columns' names and types; in every prefix that no source has
     run out before, each source's blocks are within one of its target share. Null sources, repeated rows and
-    empty tables are as in schedule(). Rows are shuffled twice: to be ranked, and into the schedule's order.
+    empty tables are as in schedule().
+
+    Ids and sources are ranked first, and tell for each range of hashes which run of slots its rows go to. Whole rows are
+    then shuffled once, to their run, where they meet its slots. Where rows of one id stand at a run's border, or runs
+    and sources are too many to broadcast, whole rows are shuffled twice: to be ranked, and into the schedule's order.
     """
-    columns = docs.columns
+    columns, parts = docs.columns, tasks(docs)
     others = [c for c in columns if c not in (id_col, source_col)]
-    placed = _scheduled(docs, weights, block, period, id_col, source_col, others).drop("__block", "__release", "__due")
-    ordered = placed.repartitionByRange(tasks(docs), "__slot", "__u", "__h").sortWithinPartitions("__slot", "__u", "__h", "__id")
     own = {id_col: "__id", source_col: "__source"} | {c: f"__k{i}" for i, c in enumerate(others)}
-    return ordered.select(*[F.col(own[c]).alias(c) for c in columns])
+    places = _places(docs, weights, block, period, id_col, source_col, parts)
+    if places is None:
+        placed = _scheduled(docs, weights, block, period, id_col, source_col, others)
+        ordered = placed.repartitionByRange(parts, "__slot", "__u", "__h").sortWithinPartitions("__slot", "__u", "__h", "__id")
+        return ordered.select(*[F.col(own[c]).alias(c) for c in columns])
+    cells, cuts, index = places
+    rows = _keyed(docs, id_col, source_col, others)
+    rows = rows.join(F.broadcast(cuts), "__s").withColumn("__b", F.shiftright(F.col("__u") * F.col("__cuts"), 32)).join(F.broadcast(index), ["__s", "__b"])
+    run = F.try_element_at(F.filter("ends", lambda e: e["lo"] <= F.struct("__u", "__h")), F.lit(-1))["__p"]
+    rows = rows.withColumn("__p", run).drop("__cuts", "__b", "ends")
+    # A run's slots come first among the rows of their source, and each row takes them from there.
+    heads = cells.select("__s", "__p", F.lit(-1).cast("long").alias("__u"), "first", "base", "slots")
+    by = Window.partitionBy("__p", "__s").orderBy(*_order(rows))
+    met = rows.unionByName(heads, allowMissingColumns=True).repartitionById(parts, F.col("__p"))
+    head = lambda c: F.first(c, True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumns({"__r": F.row_number().over(by) - 2, "__first": head("first"), "__base": head("base"), "__slots": head("slots")}).where("__u >= 0")
+    met = met.withColumn("__slot", F.get("__slots", (F.floor((F.col("__base") + F.col("__r")) / block) - F.col("__first")).cast("int")))
+    return met.sortWithinPartitions("__slot", "__u", "__h", "__id").select(*[F.col(own[c]).alias(c) for c in columns])
