@@ -43,7 +43,7 @@ class TrieBPE:
     limit: bytes of words and their ids that are kept, about; beyond it only those in use stay, so memory is bounded.
     """
 
-    def __init__(self, json_text: str, limit: int = 100_000_000):
+    def __init__(self, json_text: str, limit: int = 120_000_000):
         import regex
 
         spec = json.loads(json_text)

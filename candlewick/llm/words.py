@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -55,6 +56,8 @@ def safe_pieces(word: str, limit: int) -> list[str]:
 _PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]+")
 _LETTER = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: What often follows a word and is a part of its own.
+_ENDS = frozenset(".,;:!?)")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
@@ -72,7 +75,7 @@ class WordEncoder:
     at once, so that batches are even whatever the words' lengths and letters.
     """
 
-    def __init__(self, json_text: str, limit: int = 160_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
+    def __init__(self, json_text: str, limit: int = 220_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
         self.tokenizer, self.limit, self.batch_bytes, self.piece = load(json_text), limit, batch_bytes, piece
         spec = json.loads(json_text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
@@ -104,8 +107,16 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, parts: list[str], what: str):
-        """(part, what stays of its ids) for words that the splitter leaves whole."""
-        for batch in self._batches(parts):
+        """(part, what stays of its ids) for words that the splitter leaves whole.
+
+        ASCII ones, which no step before the merges changes, go to the library's merges one by one; others to all of it.
+        """
+        tokenize, plain = self.tokenizer.model.tokenize, [p for p in parts if p.isascii()]
+        if what == "ids":
+            yield from [(p, array("I", [t.id for t in tokenize(p)]).tobytes()) for p in plain]
+        else:
+            yield from [(p, len(tokenize(p))) for p in plain]
+        for batch in self._batches([p for p in parts if not p.isascii()]):
             ids = np.array(self._encode([" ".join(batch)])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(batch) or ends[-1] != len(ids):
@@ -129,9 +140,14 @@ class WordEncoder:
             self.held[what] = weight(known)
         single, split, odd, mark = {}, {}, [], self.mark
         for w in words.difference(known):
-            if w.isascii() and w.isalpha():
-                single[w] = w.lower()
-            elif _PLAIN.fullmatch(w) and (mark not in w or not any(s in w for s in self.specials)):
+            if w.isascii():
+                if w.isalpha():
+                    single[w] = w.lower()
+                    continue
+                if w[-1] in _ENDS and w[:-1].isalpha():
+                    split[w] = [w[:-1].lower(), w[-1]]
+                    continue
+            if _PLAIN.fullmatch(w) and (mark not in w or not any(s in w for s in self.specials)):
                 split[w] = _PARTS.findall(w.lower())
             else:
                 odd.append(w)
