@@ -101,7 +101,7 @@ def test_shared_gives_the_last_holder_of_a_large_shingle(spark):
     try:
         for more in ([], [4999] * 7):
             rows = [(1, x, 0, 0) for x in [*range(5000), *more]] + [(2, 1, 0, 0), (2, 2, 0, 0), (3, 9, 0, 0), (4, 1, 0, 0), (4, 2, 0, 0)]
-            got = sorted((r.token, r.node) for r in jaccard._shared(spark.createDataFrame(rows, "token long, node long, meta long, salt int"), 1).collect())
+            got = sorted((r.token, r.node) for r in jaccard._shared(spark.createDataFrame(rows, "token long, node long, meta long, salt int"), 1, 90, 100).collect())
             assert got == [(1, x) for x in range(5000)] + [(2, 1), (2, 2), (4, 1), (4, 2)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -134,6 +134,27 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_shared_by_size_equals_a_plain_grouping(spark):
+    """Batches that end anywhere: rows go out if another holder of their shingle is alike in size, or if holders are very many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    rng = random.Random(2)
+    try:
+        for many in (4_090, 4_096, 4_097, 4_100, 4_999, 5_000, 5_100):
+            sizes = {x: rng.choice([10, 12, 100, 105, 120, 2_000]) for x in range(6_000)}
+            rows = [(1, x) for x in range(many)]
+            for token in range(2, 900):
+                rows += [(token, x) for x in rng.sample(range(6_000), rng.randint(1, 4))]
+            got = {(r.token, r.node) for r in jaccard._shared(spark.createDataFrame([(t, x, sizes[x] << 16, 0) for t, x in rows] + [(2, rows[many][1], sizes[rows[many][1]] << 16, 0)], "token long, node long, meta long, salt int"), 1, 90, 100).collect()}
+            holders = {}
+            for t, x in rows:
+                holders.setdefault(t, []).append(x)
+            want = {(t, x) for t, own in holders.items() for x in own if any(y != x and 100 * min(sizes[x], sizes[y]) >= 90 * max(sizes[x], sizes[y]) for y in own)}
+            assert want <= got and {g for g in got if g[0] > 1} == {w for w in want if w[0] > 1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def odd_columns(spark, rows):
     """rows of (id, text) with columns whose names and types don't bear to be referred to plainly."""
     return spark.createDataFrame([(i, t, "s", {"k": i or 0}, [(1, "x")], 5, "z") for i, t in rows], "doc_id long, text string, source string, `a.b` map<string,long>, `c ``d` array<struct<e:int,f:string>>, n_chars long, root string")
@@ -409,6 +430,29 @@ def test_schedule_by_a_plain_version(spark):
     assert sorted((r.doc_id, r.source or "", r.block, r.slot, r.release, r.deadline) for r in got) == want
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_mix_moves_whole_rows_once(spark, tmp_path, twice):
+    """Files in the order of the schedule's slots, by one shuffle of whole rows; by two where rows of one id stand at a border."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaaaaabbc"), f"text {i}") for i in range(9000)] + ([(5, "a", "text 5")] * 3000 if twice else [])
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(docs, block=8)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert ("shufflepartitionidpassthrough" in plan) == (not twice)
+    path = f"file://{tmp_path}/mixed"
+    mixed.write.parquet(path)
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select("doc_id", "source", "text").collect())) == sorted(rows)
+    order = back.selectExpr("doc_id", "source", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()
+    slots = {}
+    for r in mixing.schedule(docs, block=8).collect():
+        slots.setdefault((r.doc_id, r.source), []).append(r.slot)
+    for own in slots.values():
+        own.sort(reverse=True)
+    seen = [slots[r.doc_id, r.source].pop() for r in order]
+    assert seen == sorted(seen)
+
+
 def test_many_sources(spark):
     """Thousands of sources are counted and planned off the driver."""
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 3000).cast("string").alias("source"))
