@@ -81,14 +81,22 @@ def search_block(q_ids, q, x_ids, x, pivots, norm: float, k: int, stats: dict |
         while at < len(order):
             if len(top) == k and bound[order[at]] > radius(top[-1]):
                 break
-            some = order[at : at + wave]
-            ids, score = np.concatenate([top_ids, x_ids[some]]), np.concatenate([top, x[some] @ q[i]])
+            if len(top) == k:  # those that the k-th best so far rules out are never evaluated
+                order = order[: np.searchsorted(bound[order], radius(top[-1]), side="right")]
+            # Where bounds rule out little, the rest costs less as one product than by single rows.
+            whole = 8 * wave > len(x) and 2 * (len(order) - at) > len(x)
+            some = order[at:] if whole else order[at : at + wave]
+            found = (x @ q[i])[some] if whole else x[some] @ q[i]
+            if len(found) > 8 * k and not repeats:
+                near = np.flatnonzero(found >= np.partition(found, len(found) - k)[len(found) - k])
+                at, some, found = at + len(some) - len(near), some[near], found[near]
+            ids, score = np.concatenate([top_ids, x_ids[some]]), np.concatenate([top, found])
             best = np.lexsort((ids, -score))
             if repeats:  # an id's best row stands for it
                 best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
             best = best[:k]
             top_ids, top = ids[best], score[best]
-            at, wave = at + wave, wave * 2
+            at, wave = at + len(some), wave * 2
         if stats is not None:
             stats["evaluated"] = stats.get("evaluated", 0) + min(at, len(order))
             stats["pairs"] = stats.get("pairs", 0) + len(x) - int((x_ids == q_ids[i]).sum())
