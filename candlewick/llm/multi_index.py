@@ -25,7 +25,7 @@ SAMPLE = 8_000
 CODES = 1_024
 MOST_CELLS = 512
 #: Vectors of a cell that one task holds, at most.
-CELL = 2_048
+CELL = 1_024
 
 
 def fit_codebook(x: np.ndarray, codes: int, seed: int = 1, rounds: int = 12) -> np.ndarray:
