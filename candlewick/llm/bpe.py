@@ -30,13 +30,6 @@ _DOUBLE = re.compile(r" \s|\s$")
 _CUT = re.compile(r" (?=\S)")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in such vocabularies: printable bytes for themselves, the rest from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class TrieBPE:
     """Encodes words with a byte-level BPE vocabulary given as a tokenizers file's text.
 
@@ -47,7 +40,7 @@ class TrieBPE:
         import regex
 
         spec = json.loads(json_text)
-        model, letters = spec["model"], byte_letters()
+        model, letters = spec["model"], words.byte_letters()
         if model["type"] != "BPE" or model.get("end_of_word_suffix") or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("not a plain byte-level BPE vocabulary")
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
@@ -190,10 +183,10 @@ class TrieBPE:
 
     def _cut(self, text: str) -> list[str]:
         """A text in pieces that are split independently: before a space that a character other than white space follows."""
-        if not _PLAIN.fullmatch(text) or _DOUBLE.search(text):
-            found = _CUT.split(text) if _PLAIN.fullmatch(text) else [text]
+        if not _PLAIN.fullmatch(text):
+            found = [text]
         else:
-            found = text.split(" ")
+            found = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
         return [found[0], *[" " + x for x in found[1:]]] if found[0] else [" " + x for x in found[1:]]
 
     def _known(self, distinct: set[str]) -> None:
@@ -235,7 +228,11 @@ class TrieBPE:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that the vocabulary lacks are left out."""
-        return b"".join(map(self.bytes_of.get, ids) if all(i in self.bytes_of for i in set(ids)) else (self.bytes_of[i] for i in ids if i in self.bytes_of)).decode("utf-8", "replace")
+        try:
+            data = b"".join(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            data = b"".join(self.bytes_of[i] for i in ids if i in self.bytes_of)
+        return data.decode("utf-8", "replace")
 
 
 def codec(json_text: str) -> TrieBPE:

@@ -9,14 +9,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from struct import pack
 
 import numpy as np
 
 from .common import held
 
 #: Python's split() also cuts at these four, which regular expression libraries do not call white space.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _DIGIT = re.compile(r"(?<=[0-9])(?=[ -~])|(?<=[ -~])(?=[0-9])")
 
@@ -33,7 +33,7 @@ def load(json_text: str):
 
 def cut(text: str) -> list[str]:
     """The words of a text."""
-    if _ODD.search(text):
+    if any(c in text for c in _ODD):
         return [x for x in _SPACE.split(text) if x]
     return text.split()
 
@@ -61,6 +61,13 @@ _ENDS = frozenset(".,;:!?)")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def weight(words) -> int:
     """About the bytes that a table of these words takes: entries, words, and a number for each few characters."""
     return 200 * len(words) + 4 * sum(map(len, words))
@@ -69,9 +76,9 @@ def weight(words) -> int:
 class WordEncoder:
     """Ids of each word, kept in a table of bounded size.
 
-    Words of plain characters are lower-cased and split as the vocabulary's pattern does; the distinct parts
-    go to the library joined by spaces, and the ids are parted where a token ends a word. All other words
-    go to it by themselves. limit: bytes of words kept, about; batch_bytes: about so many bytes go to the library
+    Words of plain characters are lower-cased and split as the vocabulary's pattern does. To be counted, the distinct
+    parts go to the library joined by spaces, and the ids are parted where a token ends a word; all other words go
+    to it by themselves. limit: bytes of words kept, about; batch_bytes: about so many bytes go to the library
     at once, so that batches are even whatever the words' lengths and letters.
     """
 
@@ -82,14 +89,15 @@ class WordEncoder:
         self.mark = os.path.commonprefix(self.specials)  # every special string holds it
         self.suffix = spec["model"].get("end_of_word_suffix")
         pattern = json.dumps(spec["pre_tokenizer"])
-        if not self.suffix or "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" not in pattern or "Removed" not in pattern:
+        if not self.suffix or '"ByteLevel"' not in pattern or "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" not in pattern or "Removed" not in pattern:
             raise ValueError("not a word vocabulary that drops white space")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(self.suffix)
-        self.known: dict[str, dict] = {"ids": {}, "lengths": {}}
-        self.parts: dict[str, dict] = {"ids": {}, "lengths": {}}
-        self.held = {"ids": 0, "lengths": 0}
+        self.known: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.held = 0
+        self.ids = _Ids(self)
 
     def _batches(self, items: list[str]):
         """Lists of items balanced by size."""
@@ -106,79 +114,108 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str], what: str):
-        """(part, what stays of its ids) for words that the splitter leaves whole.
-
-        ASCII ones, which no step before the merges changes, go to the library's merges one by one; others to all of it.
-        """
-        tokenize, plain = self.tokenizer.model.tokenize, [p for p in parts if p.isascii()]
-        if what == "ids":
-            yield from [(p, array("I", [t.id for t in tokenize(p)]).tobytes()) for p in plain]
-        else:
-            yield from [(p, len(tokenize(p))) for p in plain]
-        for batch in self._batches([p for p in parts if not p.isascii()]):
+    def parts_of(self, word: str) -> list[str] | None:
+        """The lower-cased parts that the pattern splits a word of plain characters into; none for other words."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1] in _ENDS and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
+        if _PLAIN.fullmatch(word) and (self.mark not in word or not any(s in word for s in self.specials)):
+            return _PARTS.findall(word.lower())
+        return None
+
+    def odd(self, word: str) -> list[list[int]]:
+        """The ids of a word that is not plain: whole, or, if very long, by its safe pieces."""
+        pieces = [word] if len(word) <= 2 * self.piece else safe_pieces(word, self.piece)
+        return [ids for b in self._batches(pieces) for ids in self._encode(b)]
+
+    def _encode_parts(self, parts: list[str]):
+        """(part, number of ids) for words that the splitter leaves whole."""
+        for batch in self._batches(parts):
             ids = np.array(self._encode([" ".join(batch)])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(batch) or ends[-1] != len(ids):
-                yield from zip(batch, (self.keep[what](x) for x in self._encode(batch)), strict=True)
-            elif what == "ids":
-                flat, at = ids.tobytes(), (ends * 4).tolist()
-                yield from zip(batch, [flat[s:e] for s, e in zip([0, *at], at, strict=False)], strict=True)
+                yield from zip(batch, map(len, self._encode(batch)), strict=True)
             else:
                 yield from zip(batch, np.diff(ends, prepend=0).tolist(), strict=True)
 
-    #: What stays of a word's ids, and how that of its parts is joined.
-    keep = {"ids": lambda ids: np.array(ids, "<u4").tobytes(), "lengths": len}
-    join = {"ids": b"".join, "lengths": sum}
-
-    def _fill(self, what: str, words: set[str]) -> dict:
-        """The table with all of `words` in it."""
-        known, parts, kept, joined = self.known[what], self.parts[what], self.keep[what], self.join[what]
-        if self.held[what] > self.limit:
-            known = self.known[what] = {w: known[w] for w in words if w in known}
+    def _fill(self, words: set[str]) -> dict[str, int]:
+        """The table of lengths with all of `words` in it."""
+        known, parts = self.known, self.parts
+        if self.held > self.limit:
+            known = self.known = {w: known[w] for w in words if w in known}
             parts.clear()
-            self.held[what] = weight(known)
-        single, split, odd, mark = {}, {}, [], self.mark
+            self.held = weight(known)
+        split, odd = {}, []
         for w in words.difference(known):
-            if w.isascii():
-                if w.isalpha():
-                    single[w] = w.lower()
-                    continue
-                if w[-1] in _ENDS and w[:-1].isalpha():
-                    split[w] = [w[:-1].lower(), w[-1]]
-                    continue
-            if _PLAIN.fullmatch(w) and (mark not in w or not any(s in w for s in self.specials)):
-                split[w] = _PARTS.findall(w.lower())
-            else:
+            own = self.parts_of(w)
+            if own is None:
                 odd.append(w)
-        missing = set(single.values())
-        missing.update(*split.values())
-        missing.difference_update(parts)
-        self.held[what] += weight(missing) + weight(single) + weight(split) + weight(odd)
-        parts.update(self._encode_parts(list(missing), what))
+            else:
+                split[w] = own
+        missing = set().union(*split.values()).difference(parts)
+        self.held += weight(missing) + weight(split) + weight(odd)
+        parts.update(self._encode_parts(list(missing)))
         get = parts.__getitem__
-        known.update(zip(single, map(get, single.values()), strict=True))
         for w, x in split.items():
-            known[w] = get(x[0]) if len(x) == 1 else joined(map(get, x))
+            known[w] = get(x[0]) if len(x) == 1 else sum(map(get, x))
         for batch in self._batches([w for w in odd if len(w) <= 2 * self.piece]):
-            known.update(zip(batch, map(kept, self._encode(batch)), strict=True))
+            known.update(zip(batch, map(len, self._encode(batch)), strict=True))
         for w in (w for w in odd if len(w) > 2 * self.piece):
-            known[w] = joined(kept(i) for b in self._batches(safe_pieces(w, self.piece)) for i in self._encode(b))
+            known[w] = sum(map(len, self.odd(w)))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cuts = [cut(t) for t in texts]
-        get = self._fill("ids", set().union(*cuts)).__getitem__
-        return [b"".join(map(get, x)) for x in cuts]
+        self.ids.trim()
+        get = self.ids.__getitem__
+        return [b"".join(map(get, cut(t))) for t in texts]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text; the ids themselves are dropped at once."""
         cuts = [cut(t) for t in texts]
-        get = self._fill("lengths", set().union(*cuts)).__getitem__
+        get = self._fill(set().union(*cuts)).__getitem__
         return [sum(map(get, x)) for x in cuts]
 
 
+class _Ids(dict):
+    """The ids of words as little-endian 32-bit integers, each word encoded when it is met first.
+
+    A plain part needs no step of the library before its merges but the spelling of its bytes in the vocabulary's letters.
+    """
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder, self.tokenize, self.parts, self.held = encoder, encoder.tokenizer.model.tokenize, {}, 0
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def trim(self) -> None:
+        if self.held > self.encoder.limit:
+            self.clear()
+            self.parts.clear()
+            self.held = 0
+
+    def part(self, p: str) -> bytes:
+        got = self.parts.get(p)
+        if got is None:
+            letters = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+            ids = [t.id for t in self.tokenize(letters)]
+            got = self.parts[p] = pack(f"<{len(ids)}I", *ids)
+            self.held += 200 + 4 * len(p)
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.encoder.parts_of(word)
+        if parts is None:
+            ids = b"".join([np.array(x, "<u4").tobytes() for x in self.encoder.odd(word)])
+        else:
+            ids = self.part(parts[0]) if len(parts) == 1 else b"".join(map(self.part, parts))
+        self[word] = ids
+        self.held += 200 + 4 * len(word)
+        return ids
+
+
 def encoder(json_text: str) -> WordEncoder:
     return held("words", hash(json_text), lambda: WordEncoder(json_text))
 
