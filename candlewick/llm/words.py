@@ -82,7 +82,7 @@ class WordEncoder:
     at once, so that batches are even whatever the words' lengths and letters.
     """
 
-    def __init__(self, json_text: str, limit: int = 220_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
+    def __init__(self, json_text: str, limit: int = 380_000_000, batch_bytes: int = 50_000, piece: int = 20_000):
         self.tokenizer, self.limit, self.batch_bytes, self.piece = load(json_text), limit, batch_bytes, piece
         spec = json.loads(json_text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
@@ -187,14 +187,18 @@ class _Ids(dict):
 
     def __init__(self, encoder: WordEncoder):
         super().__init__()
-        self.encoder, self.tokenize, self.parts, self.held = encoder, encoder.tokenizer.model.tokenize, {}, 0
+        self.encoder, self.tokenize, self.parts = encoder, encoder.tokenizer.model.tokenize, {}
+        self.held = self.of_parts = 0  # bytes, about: of all, and of the parts
         self.letters = {b: c for c, b in byte_letters().items()}
 
     def trim(self) -> None:
+        """Beyond the limit words go; their parts stay up to a third of it."""
         if self.held > self.encoder.limit:
             self.clear()
-            self.parts.clear()
-            self.held = 0
+            if 3 * self.of_parts > self.encoder.limit:
+                self.parts.clear()
+                self.of_parts = 0
+            self.held = self.of_parts
 
     def part(self, p: str) -> bytes:
         got = self.parts.get(p)
@@ -203,6 +207,7 @@ class _Ids(dict):
             ids = [t.id for t in self.tokenize(letters)]
             got = self.parts[p] = pack(f"<{len(ids)}I", *ids)
             self.held += 200 + 4 * len(p)
+            self.of_parts += 200 + 4 * len(p)
         return got
 
     def __missing__(self, word: str) -> bytes:
