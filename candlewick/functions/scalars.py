@@ -21,6 +21,12 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) >= TINY, F.try_divide(a, F.when(F.abs(b) >= TINY, b)))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """As IEEE 754 has it, unguarded: by zero an infinity of the signs' product, NaN for zero by zero. Comparisons put NaN above every number."""
+    infinite = F.when(b.cast("string") == "-0.0", float("-inf")).otherwise(float("inf"))  # comparisons take the two zeros for one
+    return F.when(b == 0, a * infinite).otherwise(a / F.when(b != 0, b))
+
+
 def change(frm: Column, to: Column) -> Column:
     return divide(to - frm, frm) * 100
 

@@ -13,7 +13,7 @@ from typing import Any
 
 # The wire format's variants and their fields. An int counts unnamed fields.
 EXPRESSIONS = {
-    "Num": 1, "Bool": 1, "Path": 1, "Var": 1, "Neg": 1, "Add": 2, "Sub": 2, "Mul": 2, "Div": 2, "Abs": 1,
+    "Num": 1, "Bool": 1, "Path": 1, "Var": 1, "Neg": 1, "Add": 2, "Sub": 2, "Mul": 2, "Div": 2, "Quotient": 2, "Abs": 1,
     "PctChange": ("from", "to"), "Gt": 2, "Lt": 2, "Gte": 2, "Lte": 2, "Eq": 2, "Between": ("val", "low", "high"),
     "And": 2, "Or": 2, "Not": 1, "Implies": ("antecedent", "consequent"),
     "Agg": ("stock", "from", "to", "col", "func"), "All": ("stock", "from", "to", "pred"), "Any": ("stock", "from", "to", "pred"),

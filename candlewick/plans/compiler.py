@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import series
 from ..functions.minutes import day_streak, day_test, slot
-from ..functions.scalars import COMPARE, COUNTS, change, divide, is_candle, limit_rate, yes
+from ..functions.scalars import COMPARE, COUNTS, change, divide, is_candle, limit_rate, quotient, yes
 from .ast import CURRENT, MARKET, Node, Path, Registry, time_of
 
 TESTS = frozenset("Bool Gt Lt Gte Lte Eq Between And Or Not Implies All Any CountBars CrossUp CrossDown CandleIs PointExists Monotone SyncWithMarket Intraday IntradayDuration".split())
@@ -71,7 +71,7 @@ class Compiler:
         if k == "PctChange":
             return change(self.number(e["from"], each), self.number(e["to"], each))
         a = [self.number(x, each) for x in e.args]
-        return {"Neg": lambda: -a[0], "Abs": lambda: F.abs(a[0]), "Add": lambda: a[0] + a[1], "Sub": lambda: a[0] - a[1], "Mul": lambda: a[0] * a[1], "Div": lambda: divide(a[0], a[1])}[k]()
+        return {"Neg": lambda: -a[0], "Abs": lambda: F.abs(a[0]), "Add": lambda: a[0] + a[1], "Sub": lambda: a[0] - a[1], "Mul": lambda: a[0] * a[1], "Div": lambda: divide(a[0], a[1]), "Quotient": lambda: quotient(a[0], a[1])}[k]()
 
     def variable(self, name: str, each) -> Column:
         if name in self.vars:

@@ -60,9 +60,10 @@ def candle(kind: str) -> Node:
     return ex("CandleIs", at=end(), candle=kind)
 
 
-def gap(direction: str, percent: float) -> Node:
-    """The close rises, or falls, by more than so many percent from the bar before."""
-    change = ex("PctChange", val(end(-1), "close"), val(end(), "close"))
+def gap(direction: str, percent: float, from_zero: bool = False) -> Node:
+    """The close rises, or falls, by more than so many percent from the bar before. From a close of nearly zero there is no gap, or, from_zero, one of the plain quotient's size: from zero itself an infinite one."""
+    before, now = val(end(-1), "close"), val(end(), "close")
+    change = ex("Mul", ex("Quotient", ex("Sub", now, before), before), 100) if from_zero else ex("PctChange", before, now)
     return ex("Gt", change, percent) if direction == "up" else ex("Lt", change, -percent)
 
 
@@ -113,7 +114,7 @@ def condition_from(x: dict) -> Node:
     if kind == "engulfing":
         return engulfing(x["direction"])
     if kind == "gap":
-        return gap(x["direction"], float(x["percent"]))
+        return gap(x["direction"], float(x["percent"]), bool(x.get("from_zero", False)))
     if kind == "counter_market":
         return counter_market()
     raise ValueError(f"no condition {kind!r}")

@@ -15,7 +15,7 @@ from candlewick.functions.indicators import default_registry, with_indicators
 from candlewick.operators import calls
 from candlewick.operators.results import counts, with_trace, write_csv, write_scan
 from candlewick.operators.screen import Screen, symbol_key, symbol_of
-from candlewick.plans.ast import Block, MARKET, Node, Pattern, Pipeline, Registry, Stage, each, end, ex, mx, pipeline_to_json, start, tm, val
+from candlewick.plans.ast import Block, MARKET, Node, Pattern, Pipeline, Registry, Stage, each, end, ex, mx, pipeline_from_json, pipeline_to_json, start, tm, val
 from candlewick.plans.forms import condition_from, engulfing_stage
 from candlewick.sources.bars import MINUTES as MINUTE_COLUMNS
 from candlewick.sources.bars import BarSource, ParquetBars, StrategyStore, TableBars, empty_bars, kept, sampled, stocks
@@ -392,6 +392,24 @@ def test_engulfing_forms_agree(spark):
     bars.unpersist()
 
 
+def test_gaps_from_zero(spark, tmp_path):
+    """A gap's form says whether a close of zero before counts; q_form_groups, as in its SQL, counts it, with an infinite rise."""
+    closes = [0.0, 1.0, 0.0, 0.0, -1.0, -0.0, 1.0, 1.04, 1.1]
+    bars = series(spark, [1] * 9, closes).persist()
+    want = {("up", False): [8], ("up", True): [1, 3, 8], ("down", False): [2, 5], ("down", True): [2, 4, 5, 6]}
+    for (direction, from_zero), days in want.items():
+        stage = Stage("s", conditions=[("c", condition_from({"type": "gap", "direction": direction, "percent": 5, "from_zero": from_zero}))])
+        assert pipeline_from_json(pipeline_to_json(Pipeline([stage]))).stages[0].conditions == stage.conditions
+        for array in (False, True):
+            assert [i for i, passed in enumerate(verdicts(bars, stage, array)) if passed] == days, (direction, from_zero, array)
+    bars.unpersist()
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    rows = [(0, at(1, 9), 1, 0.0), (1, at(2, 9), 1, 2.0), (2, at(2, 10), 1, 3.0), (3, at(1, 9), 2, 2.99), (4, at(2, 9), 2, 2.0), (5, at(2, 10), 2, 3.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = catalog.QUERIES["q_form_groups"](spark, f"file://{tmp_path}").orderBy("code", "date").collect()
+    assert [r.passed for r in got] == [False, True, False, False]
+
+
 def test_exponential_mean_of_a_long_series(spark):
     closes = [float(i * 7919 % 101) for i in range(900)]
     bars = series(spark, closes, closes)
